@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Words, documents, pieces, text_views
+from .common import Words, documents, free_name, pieces, text_views
 
 SLOTS = 1 << 16
 SWITCH = 14.0
@@ -198,15 +199,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
 _OUT_TYPE = "lang string, share double, spans array<struct<start:int,stop:int,lang:string>>"
 
 
-def label(batches, model: Model, switch: float):
-    """Adds (lang, share, spans) to batches whose column ``text`` is labelled.
+def label(batches, model: Model, switch: float, text_col: str = "text"):
+    """(lang, share, spans, batch) of batches by their column ``text_col``.
 
     ``spans`` are character offsets of runs of one language, the first from 0
     and the last to the end; ``lang`` has most words, ``share`` their share.
     """
     names = np.array(model.states, object)
     for batch in batches:
-        col = batch.column("text")
+        col = batch.column(text_col)
         langs, shares, spans = [], [], []
         for lo, hi, off, w in _doc_pieces(col, 4 << 20):
             path = viterbi(word_scores(model, w, off), w.first, switch)
@@ -240,8 +241,7 @@ def label(batches, model: Model, switch: float):
         cat = lambda i, t: pa.array(np.concatenate([s[i] for s in spans]) if spans else [], t)
         inner = pa.StructArray.from_arrays([cat(1, pa.int32()), cat(2, pa.int32()), cat(3, pa.string())], names=["start", "stop", "lang"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), inner)
-        rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), lists], names=[*rest, "lang", "share", "spans"])
+        yield langs, shares, lists, batch
 
 
 def languages(
@@ -261,8 +261,26 @@ def languages(
     from, Latin text is ``und``.  Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else docs, text_col, lang_col))
+
+    def run(batches):
+        for langs, shares, lists, batch in label(batches, model.value, switch):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), lists], names=["doc_id", "lang", "share", "spans"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: label(it, model.value, switch), "doc_id long, " + _OUT_TYPE)
+    return rows.mapInArrow(run, "doc_id long, " + _OUT_TYPE)
+
+
+def labelled_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "found", switch: float = SWITCH) -> DataFrame:
+    """``docs``, each row as it is, with its language in a new column ``name``
+    (underscores are put before it while a column has that name)."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, lang_col))
+    name = free_name(docs, name)
+
+    def run(batches):
+        for langs, _, _, batch in label(batches, model.value, switch, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

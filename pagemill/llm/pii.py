@@ -293,6 +293,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reca
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, text string, spans {SPANS_TYPE}")
 
 
+def redacted_rows(docs: DataFrame, text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """``docs`` with the redacted text in place of ``text_col``; all other
+    columns and all rows stay as they are."""
+    det = docs.sparkSession.sparkContext.broadcast(detector(recall))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            col = batch.column(at)
+            texts, _ = redact_batch(col, det.value)
+            if any(t is not None for t in texts):
+                col = pa.array([o if t is None else t for o, t in zip(col.to_pylist(), texts)], pa.string())
+            yield batch.set_column(at, batch.schema.field(at), col)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with personal data: redacted text and spans."""
     return redact(documents(spark, sf_dir)).where(F.size("spans") > 0)

@@ -71,7 +71,7 @@ def meta_map(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 def page_nodes_of(spark, sf_dir: str) -> DataFrame:
     """The node table of the pages of ``sf_dir``."""
-    from ..sources.pages import pages
+    from ..sources.pages import pages, spread
     from .pages import node_table
 
-    return node_table(pages(spark, sf_dir))
+    return node_table(spread(pages(spark, sf_dir)))

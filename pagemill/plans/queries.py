@@ -12,7 +12,7 @@ from ..html.classify import page_model
 from ..operators import pages as P
 from ..operators import trees
 from ..operators.tfidf import tfidf
-from ..sources.pages import diagnostics, pages
+from ..sources.pages import diagnostics, pages, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -278,7 +278,7 @@ def nodes_without_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.node_table(pages(spark, sf_dir)).withColumn("attrs", F.to_json("attrs"))
+    return P.node_table(spread(pages(spark, sf_dir))).withColumn("attrs", F.to_json("attrs"))
 
 
 @query("SELECT page_id, CAST(1 AS BIGINT) AS last_items FROM pages")
@@ -293,7 +293,7 @@ def last_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, '' AS og_type, FALSE AS pagination, CAST(0 AS BIGINT) AS code_blocks, CAST(0 AS BIGINT) AS product_elements, {_TYPE} AS refined_type FROM {_PARTS}")
 def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = P.page_signals(pages(spark, sf_dir))
+    s = P.page_signals(spread(pages(spark, sf_dir)))
     return s.select("page_id", *(F.col(f"signals.{k}").alias(k) for k in ("og_type", "pagination", "code_blocks", "product_elements")), "refined_type")
 
 
@@ -302,25 +302,25 @@ def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"CAST(len(list_distinct(regexp_extract_all({_NAV}, 'href=\"([^\"]*)\"', 1))) AS DOUBLE) AS f59, CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS DOUBLE) AS f72 FROM {_PARTS}"
 )
 def countable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = P.page_features(pages(spark, sf_dir)).select("page_id", F.col("features").alias("f"))
+    x = P.page_features(spread(pages(spark, sf_dir))).select("page_id", F.col("features").alias("f"))
     f = lambda k: F.get("f", F.lit(k))
     return x.select("page_id", f(16).alias("f16"), f(18).alias("f18"), F.round(f(40) * f(41)).alias("links"), f(52).alias("f52"), f(54).alias("f54"), f(59).alias("f59"), f(72).alias("f72"))
 
 
 @query()
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = P.page_features(pages(spark, sf_dir))
+    x = P.page_features(spread(pages(spark, sf_dir)))
     return x.select("page_id", F.posexplode("features").alias("feature", "value"))
 
 
 @query()
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_features(pages(spark, sf_dir), scaled=True).select("page_id", "features", "error")
+    return P.page_features(spread(pages(spark, sf_dir)), scaled=True).select("page_id", "features", "error")
 
 
 @query(f"SELECT {_TYPE} AS page_type, count(*) AS n FROM {_PARTS} GROUP BY ALL")
 def page_type_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_signals(pages(spark, sf_dir)).groupBy(F.col("refined_type").alias("page_type")).agg(F.count("*").alias("n"))
+    return P.page_signals(spread(pages(spark, sf_dir))).groupBy(F.col("refined_type").alias("page_type")).agg(F.count("*").alias("n"))
 
 
 _TITLE = _collapse(_decode("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))
@@ -332,7 +332,7 @@ _SIDES = "^(.+)?\\s+[–•·—|⁄*⋆~‹«<›»>:-]\\s+(.+)$"
     f"WHEN contains(regexp_extract({_TITLE}, '{_SIDES}', 2), '.') THEN ltrim(regexp_extract({_TITLE}, '{_SIDES}', 2), '@') ELSE {_HOST} END AS sitename FROM pages"
 )
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = P.page_metadata(pages(spark, sf_dir).select("page_id", "url", "html"))
+    m = P.page_metadata(spread(pages(spark, sf_dir)).select("page_id", "url", "html"))
     return m.select("page_id", "metadata.title", "metadata.url", "metadata.hostname", "metadata.sitename")
 
 
@@ -347,44 +347,44 @@ def page_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM (SELECT page_id, CAST(length({_ARTICLE}) AS BIGINT) AS text_length FROM pages) WHERE text_length >= 200")
 def extract_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.extract_pages(pages(spark, sf_dir))
+    e = P.extract_pages(spread(pages(spark, sf_dir)))
     return e.where("text_length >= 200 and not fallback_used").select("page_id", "text_length")
 
 
 @query(f"SELECT count(*) AS n FROM pages WHERE length({_ARTICLE}) < 200")
 def extract_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose article is short fall back to the body, or are too short."""
-    e = P.extract_pages(pages(spark, sf_dir))
+    e = P.extract_pages(spread(pages(spark, sf_dir)))
     return e.where("fallback_used or text_length < 200").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) FILTER (WHERE html IS NULL) AS errors, count(*) AS n FROM pages")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = P.clean_pages(pages(spark, sf_dir)).where("error is not null or length(_html) > 0")
+    c = P.clean_pages(spread(pages(spark, sf_dir))).where("error is not null or length(_html) > 0")
     return c.agg(F.count("error").alias("errors"), F.count("*").alias("n"))
 
 
 @query()
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = P.clean_pages(pages(spark, sf_dir))
+    c = P.clean_pages(spread(pages(spark, sf_dir)))
     return c.select("page_id", F.col("_html").alias("html"), "metadata.title", "page_type", F.size("messages").alias("messages"), "error")
 
 
 @query()
 def clean_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics(P.clean_pages(pages(spark, sf_dir)))
+    return diagnostics(P.clean_pages(spread(pages(spark, sf_dir))))
 
 
 @query("SELECT page_id FROM pages WHERE FALSE")
 def security_floor_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned pages that hold a script, a handler or a bad link: none."""
-    c = P.clean_pages(pages(spark, sf_dir), boilerplate="keep")
+    c = P.clean_pages(spread(pages(spark, sf_dir)), boilerplate="keep")
     return c.where(F.col("_html").rlike(r"(?i)<(script|iframe|object|embed|applet|base)[\s>]|<[^>]*\son\w+\s*=|javascript:")).select("page_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's type, text length and title."""
-    p = pages(spark, sf_dir)
+    p = spread(pages(spark, sf_dir))
     e = P.extract_pages(p).select("page_id", "url", "html", "page_type", "text_length")
     return P.page_metadata(e).select("page_id", "page_type", "text_length", "metadata.title")
 

@@ -192,7 +192,7 @@ def near_duplicates(
     The least id of a group stays.  Groups are the connected components of
     "fingerprints collide and differ in at most ``most_distance`` of their
     bits"; equal fingerprints are one group at once.  Rows with a null id or
-    text are in no group; empty texts equal each other.  A repeated id with
+    text are in no group; texts without words equal each other.  A repeated id with
     several texts joins their groups.  Other columns are ignored, whatever
     their names.  An empty table gives an empty one.
     """

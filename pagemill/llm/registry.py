@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from importlib import import_module
-from importlib.util import find_spec
 
 MODULES = ["simhash", "decontaminate", "langid", "bpe", "pii", "lm", "quality", "huffman", "suffix", "chroma"]
 
 
 def queries() -> dict:
     out: dict = {}
-    if find_spec("corpus_pipeline"):
-        out["pipeline"] = lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)
     for name in MODULES:
         out |= import_module(f"{__package__}.{name}").QUERIES
     return out

@@ -7,7 +7,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
-from pathlib import Path
+from pkgutil import get_data
 
 import numpy as np
 
@@ -16,7 +16,6 @@ from .extract import ld_scripts
 from .select import compiled, hits
 from .tree import Node, body_of
 
-MODEL_FILE = Path(__file__).resolve().parents[1] / "data" / "page_model.json"
 PAGE_TYPES = ("article", "forum", "product", "collection", "listing", "documentation", "service")
 # CPython's white space; U+FEFF is none
 _SPLIT = re.compile("[\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -274,7 +273,7 @@ def _signature(n: Node) -> str:
 @lru_cache(maxsize=1)
 def page_model() -> dict:
     """Vocabulary (term: index, idf), feature means and scales, labels."""
-    m = json.loads(MODEL_FILE.read_text())
+    m = json.loads(get_data("pagemill", "data/page_model.json"))
     assert len(m["terms"]) == 100 and len(m["mean"]) == len(m["scale"]) == 89 and len(m["labels"]) == 7
     return m
 

@@ -291,7 +291,13 @@ def last_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ kernels over pages
 
 
-@query(f"SELECT page_id, '' AS og_type, FALSE AS pagination, CAST(0 AS BIGINT) AS code_blocks, CAST(0 AS BIGINT) AS product_elements, {_TYPE} AS refined_type FROM {_PARTS}")
+# a page of few paragraph words and many links is a listing
+_P_WORDS = "len(list_filter(regexp_split_to_array(regexp_replace(regexp_extract(html, '<p>(.*?)(</article>|<footer>)', 1, 's'), '<[^>]*>', '', 'g'), '[\\s\\x0B]+'), lambda x: x <> ''))"
+_LINKS = f"len(regexp_extract_all({_NAV}, '<a href'))"
+_REFINED = f"CASE WHEN ({_TYPE}) = 'article' AND {_P_WORDS} < 30 AND {_LINKS} >= 3 * greatest(1, {_P_WORDS}) THEN 'listing' ELSE {_TYPE} END"
+
+
+@query(f"SELECT page_id, '' AS og_type, FALSE AS pagination, CAST(0 AS BIGINT) AS code_blocks, CAST(0 AS BIGINT) AS product_elements, {_REFINED} AS refined_type FROM {_PARTS}")
 def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.page_signals(spread(pages(spark, sf_dir)))
     return s.select("page_id", *(F.col(f"signals.{k}").alias(k) for k in ("og_type", "pagination", "code_blocks", "product_elements")), "refined_type")
@@ -318,7 +324,7 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_features(spread(pages(spark, sf_dir)), scaled=True).select("page_id", "features", "error")
 
 
-@query(f"SELECT {_TYPE} AS page_type, count(*) AS n FROM {_PARTS} GROUP BY ALL")
+@query(f"SELECT {_REFINED} AS page_type, count(*) AS n FROM {_PARTS} GROUP BY ALL")
 def page_type_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_signals(spread(pages(spark, sf_dir))).groupBy(F.col("refined_type").alias("page_type")).agg(F.count("*").alias("n"))
 
@@ -389,6 +395,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_metadata(e).select("page_id", "page_type", "text_length", "metadata.title")
 
 
-@query(f"SELECT page_id, {_TYPE} AS page_type, {_H1} AS title FROM {_PARTS}")
+@query(f"SELECT page_id, {_REFINED} AS page_type, {_H1} AS title FROM {_PARTS}")
 def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir).drop("text_length")

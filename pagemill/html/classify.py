@@ -77,7 +77,8 @@ class Facts:
 
     def __init__(self, doc: Node):
         self.doc = doc
-        self.elements = [n for n in doc.elements() if not _in_template(n)]
+        found = doc.elements()
+        self.elements = [n for n in found if not _in_template(n)] if any(n.tag == "template" for n in found) else found
         self.tags = Counter(n.tag for n in self.elements)
         self.classed = [n for n in self.elements if "class" in n.attrs]
         self.meta: dict[str, str] = {}

@@ -76,6 +76,8 @@ def cap_depth(root: Node, most: int = MAX_DEPTH) -> None:
 
 
 def is_hidden(n: Node) -> bool:
+    if not n.attrs:
+        return False
     style, cls = n.get("style"), n.get("class")
     return (
         "hidden" in n.get("id")
@@ -93,7 +95,7 @@ def prune_empty(root: Node) -> None:
 
 
 def _has_p(root: Node) -> bool:
-    return any(n.tag == "p" for n in root.walk())
+    return any(n.tag == "p" for n in root.elements())
 
 
 def _with_backoff(root: Node, act, guard: bool) -> None:
@@ -182,6 +184,8 @@ def drop_by_links(root: Node, o: Options, tags: tuple[str, ...], backtrack: bool
     precise = o.focus == "precision"
     gone = []
     elements = root.elements()
+    if not any(n.tag == "a" for n in elements):
+        return
     for tag in tags:
         for n in elements:
             if n.tag != tag:
@@ -199,6 +203,8 @@ def drop_by_links(root: Node, o: Options, tags: tuple[str, ...], backtrack: bool
 def rule_matches(rule: dict, n: Node) -> bool:
     if n.tag not in rule.get("tags", ()):
         return n.tag in rule.get("bare_tag", ())
+    if not n.attrs:
+        return False
     cls, ident, role, prop = (n.get(k) for k in ("class", "id", "role", "itemprop"))
     cl, il = cls.lower(), ident.lower()
     r = rule.get
@@ -292,6 +298,8 @@ def boilerplate_token(token: str) -> bool:
 
 
 def always_excluded(n: Node, o: Options) -> bool:
+    if not n.attrs:
+        return False
     if "breadcrumblist" in n.get("itemtype").lower():
         return True
     ci = f"{n.get('class')} {n.get('id')}".lower().strip()
@@ -299,6 +307,8 @@ def always_excluded(n: Node, o: Options) -> bool:
 
 
 def boilerplate_named(n: Node, o: Options) -> bool:
+    if not n.attrs:
+        return False
     if always_excluded(n, o):
         return True
     ci = f"{n.get('class')} {n.get('id')}".lower().strip()

@@ -77,7 +77,14 @@ class Node:
                 stack += n.children[::-1]
 
     def elements(self) -> list[Node]:
-        return [n for n in self.walk() if n.kind == "element"]
+        out, stack = [], self.children[::-1]
+        while stack:
+            n = stack.pop()
+            if n.kind == "element":
+                out.append(n)
+                if n.children:
+                    stack += n.children[::-1]
+        return out
 
     def content(self) -> str:
         """All descendant text; templates keep theirs to themselves."""

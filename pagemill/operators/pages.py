@@ -100,6 +100,30 @@ def _forest(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(K.Forest(f.read()))
 
 
+def clean_one(html: str, url: str | None, boilerplate: str, rules: S.Config, minify: bool = False, page_type: str | None = None, blacklist: set[str] | None = None, forest: K.Forest | None = None) -> list:
+    """(html, messages, metadata, page type, confidence) of one page."""
+    messages: list[dict] = []
+    doc = parse(html)
+    try:
+        meta = M.metadata(doc, url, blacklist) or None
+    except Exception as e:
+        meta = None
+        messages.append({"type": "warning", "text": f"metadata extraction failed: {e}"})
+    body, kind, confidence = html, None, None
+    if boilerplate != "keep":
+        try:
+            kind, confidence = (page_type, None) if page_type else K.classify(doc, url, forest)
+            got = X.rescue(html, X.extract_tree(doc, X.Options(focus=boilerplate, page_type=kind), confidence))
+            messages += [{"type": "warning", "text": f"boilerplate: {w}"} for w in got.warnings]
+            if got.content_html:
+                body = got.content_html
+            else:
+                messages.append({"type": "warning", "text": "boilerplate removal produced no content; cleaning the whole document"})
+        except Exception as e:
+            messages.append({"type": "warning", "text": f"boilerplate removal failed: {e}; cleaning the whole document"})
+    return [S.clean_html(body, rules, minify), messages, meta, kind, confidence]
+
+
 def clean_pages(
     df: DataFrame,
     html_col: str = "html",
@@ -130,26 +154,7 @@ def clean_pages(
     forest = _forest(df, forest_path)
 
     def one(html: str, url: str | None) -> list:
-        messages: list[dict] = []
-        doc = parse(html)
-        try:
-            meta = M.metadata(doc, url, author_blacklist) or None
-        except Exception as e:
-            meta = None
-            messages.append({"type": "warning", "text": f"metadata extraction failed: {e}"})
-        body, kind, confidence = html, None, None
-        if boilerplate != "keep":
-            try:
-                kind, confidence = (page_type, None) if page_type else K.classify(doc, url, forest.value if forest else None)
-                got = X.rescue(html, X.extract_tree(doc, X.Options(focus=boilerplate, page_type=kind), confidence))
-                messages += [{"type": "warning", "text": f"boilerplate: {w}"} for w in got.warnings]
-                if got.content_html:
-                    body = got.content_html
-                else:
-                    messages.append({"type": "warning", "text": "boilerplate removal produced no content; cleaning the whole document"})
-            except Exception as e:
-                messages.append({"type": "warning", "text": f"boilerplate removal failed: {e}; cleaning the whole document"})
-        return [S.clean_html(body, rules, minify), messages, meta, kind, confidence]
+        return clean_one(html, url, boilerplate, rules, minify, page_type, author_blacklist, forest.value if forest else None)
 
     rows = admitted(df, html_col, max_input_bytes, mode)
     return _run(rows, CLEAN_DDL, [pa.string(), _MESSAGES, _META, pa.string(), pa.float64()], one, html_col, url_col)

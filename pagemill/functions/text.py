@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..html import constants as C
+from ..html.metadata import CC_CODES
 
 UNICODE_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 PYTHON_WS = r"[\t-\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -99,7 +100,7 @@ def title_parts(title: Column) -> tuple[Column, Column]:
 
 
 def license_code(href: Column) -> Column:
-    r = r"/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero)/([1-9]\.[0-9])"
+    r = f"/({CC_CODES})/" + r"([1-9]\.[0-9])"
     return F.when(F.regexp_extract(href, r, 1) != "", F.concat(F.lit("CC "), F.upper(F.regexp_extract(href, r, 1)), F.lit(" "), F.regexp_extract(href, r, 2)))
 
 

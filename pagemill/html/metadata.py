@@ -28,17 +28,24 @@ _TITLE = re.compile(f"^(.+)?{_WS}+[–•·—|⁄*⋆~‹«<›»>:-]{_WS}+(.+)
 _ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})", _A)
 _URL_DATE = re.compile(r"/(\d{4})[/-](\d{2})[/-](\d{2})(?:[/-]|$)", _A)
 _HOST = re.compile(r"^https?://(?:www\.|w[0-9]+\.)?([^/]+)")
-_CC_LINK = re.compile(r"/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero)/([1-9]\.[0-9])")
-_CC_TEXT = re.compile(r"(cc|creative commons) (by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero) ?([1-9]\.[0-9])?", _AI)
+CC_CODES = "|".join([*(f"by-{x}" for x in ("nc-nd", "nc-sa", "nc", "nd", "sa")), "by", "zero"])
+_CC_LINK = re.compile(f"/({CC_CODES})/" + r"([1-9]\.[0-9])")
+_CC_TEXT = re.compile(f"(cc|creative commons) ({CC_CODES}) " + r"?([1-9]\.[0-9])?", _AI)
 _EMAIL = re.compile(r"^\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", _A)
 _SPLIT = re.compile(r"/|;|,|\||&|(?:^|\W)[ua]nd(?:$|\W)", _AI)
 _EMOJI = re.compile("[✀-➾\U0001f600-\U0001f64f☀-⛿\U0001f300-\U0001f5ff\U0001f900-\U0001f9ff\U0001fa70-\U0001faff\U0001f680-\U0001f6ff]+")
+
+
+def _either(*words: str) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
 _STRIPS = (
     (re.compile("[\"‘({\\[’'][^\"]+?[‘’\"')\\]}]"), False),
     (re.compile(r"[^\w]+$|[:()?*$#!%/<>{}~¿]", _A), False),
-    (re.compile(r"^([a-zäöüß]+(?:ed|t))? ?(?:written by|words by|words|by|von|from) ", _AI), True),
+    (re.compile("^([a-zäöüß]+(?:ed|t))? ?" + _either("written by", "words by", "words", "by", "von", "from") + " ", _AI), True),
     (re.compile(r"\d[\s\S]+?$", _A), True),
-    (re.compile(r"\b\s+(?:am|on|for|at|in|to|from|of|via|with|—|-|–)\s+([\s\S]*)", _AI), True),
+    (re.compile(r"\b\s+" + _either(*"am on for at in to from of via with — - –".split()) + r"\s+([\s\S]*)", _AI), True),
 )
 _LATIN_WORD = re.compile("([A-Za-z\u00c0-\u024f])([A-Za-z\u00c0-\u024f]*)")
 _LD = 'script[type="application/ld+json" i], script[type="application/settings+json" i]'
@@ -346,11 +353,21 @@ def _process(parents: list, m: dict) -> None:
                     m["title"] = c["headline"]
 
 
+def _key(name: str) -> str:
+    return f'"{name}"'
+
+
+# what may stand between a key and the end of its object, and a quoted value
+_IN_OBJECT, _ANYTHING, _VALUE = "[^}]+?", r"[\s\S]+?", r'"([^"\\]+)'
+_NAME_VALUE = r'"name?\\?": ?\\?' + _VALUE
+_NAMES_VALUE = '"names?"' + _ANYTHING + '"([^"]+)'
+_FLAT = r"[^}\[]+"
 _BAD_AUTHOR = (
-    re.compile(r'"author":[^}[]+?"name?\\?": ?\\?"([^"\\]+)|"author"[^}[]+?"names?"[\s\S]+?"([^"]+)'),
-    re.compile(r'"[Pp]erson"[^}]+?"names?"[\s\S]+?"([^"]+)'),
+    re.compile(_key("author") + ":" + _FLAT + "?" + _NAME_VALUE + "|" + _key("author") + _FLAT + "?" + _NAMES_VALUE),
+    re.compile(_key("[Pp]erson") + _IN_OBJECT + _NAMES_VALUE),
 )
-_BAD_REMOVE = re.compile(r',?(?:"\w+":?[:|,[])?\{?"@type":"(?:[Ii]mageObject|[Oo]rganization|[Ww]eb[Pp]age)",[^}[]+\}[\]|}]?', _A)
+_OTHER_TYPES = _either("[Ii]mageObject", "[Oo]rganization", "[Ww]eb[Pp]age")
+_BAD_REMOVE = re.compile(r',?(?:"\w+":?[:|,\[])?\{?' + _key("@type") + ':"' + _OTHER_TYPES + '",' + _FLAT + r"\}[\]|}]?", _A)
 
 
 def _from_broken(s: str, m: dict) -> None:
@@ -372,15 +389,15 @@ def _from_broken(s: str, m: dict) -> None:
         token = normalize_json(kind[1].lower())
         if token in C.JSON_OGTYPE_SCHEMA:
             m["page_type"] = _page_type(token) or m.get("page_type")
-    found = re.search(r'"publisher":[^}]+?"name?\\?": ?\\?"([^"\\]+)', s)
+    found = re.search(_key("publisher") + ":" + _IN_OBJECT + _NAME_VALUE, s)
     if found and "," not in found[1]:
         name = normalize_json(found[1])
         if _plausible(m.get("sitename"), name):
             m["sitename"] = name
-    found = re.search(r'"articleSection": ?"([^"\\]+)', s)
+    found = re.search(_key("articleSection") + ": ?" + _VALUE, s)
     if found:
         m["categories"] = [normalize_json(found[1])]
-    for pattern in (r'"@type":"[Aa]rticle", ?"name": ?"([^"\\]+)', r'"headline": ?"([^"\\]+)'):
+    for pattern in (_key("@type") + ':"[Aa]rticle", ?' + _key("name") + ": ?" + _VALUE, _key("headline") + ": ?" + _VALUE):
         found = re.search(pattern, s)
         if found and not m.get("title"):
             m["title"] = normalize_json(found[1])

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..html import constants as C
 from ..html.classify import page_model
+from ..html.metadata import CC_CODES
 from ..operators import pages as P
 from ..operators import trees
 from ..operators.tfidf import tfidf
@@ -343,7 +344,7 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LICENSES = ["https://creativecommons.org/licenses/by-sa/4.0/", "https://creativecommons.org/zero/1.0", "https://x.org/by/9", "/by-nc-nd/3.0/de"]
-_LIC = r"/(by-nc-nd|by-nc-sa|by-nc|by-nd|by-sa|by|zero)/([1-9]\.[0-9])"
+_LIC = f"/({CC_CODES})/" + r"([1-9]\.[0-9])"
 
 
 @query(f"SELECT s, CASE WHEN regexp_matches(s, '{_LIC}') THEN 'CC ' || upper(regexp_extract(s, '{_LIC}', 1)) || ' ' || regexp_extract(s, '{_LIC}', 2) END AS license FROM {_VALUES(_LICENSES)}")

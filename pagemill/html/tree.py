@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -187,6 +188,9 @@ class _Builder:
         return self.top.append(node)
 
     def reconstruct(self) -> None:
+        last = self.active[-1]
+        if any(n is last for n in reversed(self.stack)):  # then none is missing
+            return
         have = {id(n) for n in self.stack}
         for i, n in enumerate(self.active):
             if id(n) not in have:
@@ -335,6 +339,11 @@ class _Builder:
                 return
 
 
+@lru_cache(maxsize=64)
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+
+
 def parse(html: str) -> Node:
     """The document node of ``html``; its ``doctype`` says if it had one."""
     html = html.replace("\r\n", "\n").replace("\r", "\n")
@@ -362,7 +371,7 @@ def parse(html: str) -> Node:
                 continue
             raw = None
             if tag in RAW or tag in RCDATA:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                close = _close(tag).search(html, at)
                 end = close.start() if close and tag != "plaintext" else n
                 raw = html[at:end]
                 if tag in RCDATA:

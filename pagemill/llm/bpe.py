@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, documents, mix, pieces, text_views
+from .common import U64, documents, mix, pieces, text_views, tidy
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROLL = 16
 MEAN_CHUNK = 192
 CACHE_BYTES = 48 << 20
+PIECE = 512 << 10
 
 
 def default_vocabulary() -> str:
@@ -77,15 +79,15 @@ class Encoder:
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, mean: int = MEAN_CHUNK):
         self.enc = encoding(path)
-        self.encode = self.enc.encode_ordinary
+        self.encode = lambda text, plain=self.enc.encode_ordinary: array("i", plain(text))
         self.sizes = np.diff(token_bytes(path)[1]).tolist()
         self.cache_bytes, self.mean = cache_bytes, mean
-        self.old: dict[str, list[int]] = {}
-        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, array] = {}
+        self.new: dict[str, array] = {}
         self.held = 0
         self.reused = self.repaired = 0
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> array:
         ids = self.new.get(text)
         if ids is None:
             ids = self.old.pop(text, None)
@@ -94,14 +96,14 @@ class Encoder:
             else:
                 self.reused += 1
             self.new[text] = ids
-            self.held += 12 * len(text) + 200
+            self.held += 4 * len(ids) + len(text) + 400
             if self.held > self.cache_bytes:  # keep what was used lately
                 self.old, self.new, self.held = self.new, {}, 0
         else:
             self.reused += 1
         return ids
 
-    def text(self, text: str, ends: list[int]) -> list[int]:
+    def text(self, text: str, ends: list[int]) -> array:
         """The ids of a text cut at character offsets ``ends``.
 
         ``out`` always is the encoding of the text so far.  A border is sure
@@ -110,7 +112,7 @@ class Encoder:
         a join re-encodes from the last sure border of the chunk before it to
         the first one of the chunk behind it.
         """
-        out: list[int] = []
+        out = array("i")
         sizes, lo, find = self.sizes, 0, text.find
         for hi in [*ends, len(text)]:
             if hi == lo:
@@ -148,8 +150,8 @@ class Encoder:
         return out
 
 
-def encode_batch(col: pa.Array, encoder: Encoder) -> list[list[int] | None]:
-    out: list[list[int] | None] = []
+def encode_batch(col: pa.Array, encoder: Encoder) -> list[array | None]:
+    out: list[array | None] = []
     buf, off, null = text_views(col)
     for lo, hi in pieces(off):
         part = buf[off[lo] : off[hi]]
@@ -177,14 +179,17 @@ def decode_ids(flat: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     data, off = token_bytes(path)
     size = np.diff(off)[flat]
     end = np.cumsum(size)
-    at = np.repeat(off[:-1][flat] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+    at = np.repeat((off[:-1][flat] - (end - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
     return data[at], size
 
 
-def _lists(ids: list[list[int] | None]) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+def _lists(ids: list[array | None]) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
     sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
     off = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.fromiter((i for x in ids if x for i in x), np.int32, int(off[-1]))
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in ids if x)])
     mask = pa.array([x is None for x in ids], pa.bool_()) if any(x is None for x in ids) else None
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), mask=mask), flat, off
 
@@ -208,8 +213,8 @@ def encode(
     def run(batches):
         encoder = Encoder(path, mean=mean_chunk)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo, hi in pieces(text_views(batch.column("text"))[1], PIECE):
+                part = batch.slice(lo, hi - lo)
                 col = part.column("text")
                 ids, flat, off = _lists(encode_batch(col, encoder))
                 buf, at, null = text_views(col)
@@ -225,7 +230,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(n, mask=null), pa.array(same, mask=null)], names=["doc_id", "ids", "n_tokens", "exact"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, exact boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, n_tokens long, exact boolean")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -244,7 +249,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
             texts = [None if null[i] else data[ends[i] : ends[i + 1]].tobytes().decode(errors="replace") for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ in the folder that all executors share (``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def tidy(kernel):
+    """``kernel``, giving freed memory back to the system when its task ends:
+    Python workers live on, and executors count them."""
+
+    def run(batches):
+        yield from kernel(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
 def drop_stored(*tables: DataFrame) -> None:
     for df in tables:
         _delete(df.sparkSession, df._stored_path)

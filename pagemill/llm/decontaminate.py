@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blobs, documents, each_piece, mix, unblob, window_hash, windows_inside
+from .common import U64, Words, blobs, documents, each_piece, mix, tidy, unblob, window_hash, windows_inside
 
 WINDOW = 8
 SHORTEST = 5
@@ -204,7 +204,7 @@ def contamination(
                     rows += _judge(int(ids[lo + doc[g[0]]]), int(item[g[0]]), x.at[r], words[g], x.words[r], x.slot[r], x.total[int(item[g[0]])], least_coverage)
             yield _table(rows)
 
-    return docs.mapInArrow(match, _OUT_TYPE).distinct()
+    return docs.mapInArrow(tidy(match), _OUT_TYPE).distinct()
 
 
 def _shuffled(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
@@ -228,8 +228,8 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
                     words = w.hash[np.minimum(at[:, None] + np.arange(k), max(len(w.hash) - 1, 0))] if len(at) else np.zeros((0, k), U64)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row[w.doc[at]]]), pa.array(keys[row[w.doc[at]]]), blobs(words, np.arange(len(at) + 1))], names=["h", "id", "row", "dw"])
 
-    windows = items.mapInArrow(of_items, "h long, item long, at long, iw binary, slot binary")
-    met = docs.withColumn("row", F.xxhash64("text")).mapInArrow(of_docs, "h long, id long, row long, dw binary").join(windows, "h")
+    windows = items.mapInArrow(tidy(of_items), "h long, item long, at long, iw binary, slot binary")
+    met = docs.withColumn("row", F.xxhash64("text")).mapInArrow(tidy(of_docs), "h long, id long, row long, dw binary").join(windows, "h")
     totals = windows.groupBy("item").agg(F.count("*").alias("total"))
     met = met.join(totals, "item")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, encoding, token_bytes
-from .common import U64, blobs, documents, span_hash, stored, text_views
+from .common import U64, blobs, documents, span_hash, stored, text_views, tidy
 
 LIMIT = 18
 BLOCK = 128
@@ -189,7 +189,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                 out = pa.array([None if z else v for z, v in zip(null.tolist(), out.to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def id_type(path: str):
@@ -206,7 +206,7 @@ def global_counts(tokens: DataFrame, n_ids: int, kind) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = tokens.select("ids").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n_ids, np.int64)
     out[np.asarray(got.column("id"))] = np.asarray(got.column("n"))
     return out
@@ -241,7 +241,7 @@ def compress(tokens: DataFrame, n_ids: int, kind=np.int32, limit: int = LIMIT) -
                     cols = [pa.array([None if z else v for z, v in zip(null.tolist(), c.to_pylist())], pa.binary()) for c in cols]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, mask=null), *cols, pa.array(same, mask=null)], names=["doc_id", "n_ids", "data", "checkpoints", "exact"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_ids long, data binary, checkpoints binary, exact boolean"), lengths
+    return tokens.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, n_ids long, data binary, checkpoints binary, exact boolean"), lengths
 
 
 def decompress(packed: DataFrame, lengths: np.ndarray, limit: int = LIMIT) -> DataFrame:
@@ -259,7 +259,7 @@ def decompress(packed: DataFrame, lengths: np.ndarray, limit: int = LIMIT) -> Da
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids), mask=pa.array(null) if null.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return packed.select("doc_id", "n_ids", "data", "checkpoints").mapInArrow(run, "doc_id long, ids array<int>")
+    return packed.select("doc_id", "n_ids", "data", "checkpoints").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def op10_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

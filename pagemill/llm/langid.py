@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Words, documents, free_name, pieces, text_views
+from .common import Words, documents, free_name, pieces, text_views, tidy
 
 SLOTS = 1 << 16
 SWITCH = 14.0
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, slots: int = SLOTS, smoot
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["lang", "slot", "n"])
 
-    got = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).orderBy("lang").toArrow()
+    got = rows.mapInArrow(tidy(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).orderBy("lang").toArrow()
     langs = got.column("lang").to_pylist()
     counts = np.zeros((len(langs), slots))
     for k in range(len(langs)):
@@ -209,8 +209,11 @@ def label(batches, model: Model, switch: float, text_col: str = "text"):
     for batch in batches:
         col = batch.column(text_col)
         langs, shares, spans = [], [], []
-        for lo, hi, off, w in _doc_pieces(col, 4 << 20):
-            path = viterbi(word_scores(model, w, off), w.first, switch)
+        for lo, hi, off, w in _doc_pieces(col, 1 << 20):
+            scores = word_scores(model, w, off)
+            # states that no word of the piece can be in take no part
+            on = np.flatnonzero((scores > -1e4).any(axis=0)) if len(scores) else np.array([len(names) - 1])
+            path = on[viterbi(np.ascontiguousarray(scores[:, on]), w.first, switch)]
             chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
             n_docs = hi - lo
             counts = np.bincount(w.doc * len(names) + path, minlength=n_docs * len(names)).reshape(n_docs, -1)
@@ -267,7 +270,7 @@ def languages(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), lists], names=["doc_id", "lang", "share", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + _OUT_TYPE)
+    return rows.mapInArrow(tidy(run), "doc_id long, " + _OUT_TYPE)
 
 
 def labelled_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "found", switch: float = SWITCH) -> DataFrame:
@@ -280,7 +283,7 @@ def labelled_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         for langs, _, _, batch in label(batches, model.value, switch, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def op6_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, documents, fold, pieces, text_views, unblob
+from .common import blobs, documents, fold, pieces, text_views, tidy, unblob
 
 CLASSES = 64
 ORDER = 4
@@ -150,7 +150,7 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = docs.select(F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(HELD_ONE_IN)) == 0).alias("held")).where("text is not null")
     kind = "head int, code binary, kept binary, held binary"
-    got = rows.mapInArrow(_count, kind).groupBy("head").applyInArrow(_sum, kind).toArrow()
+    got = rows.mapInArrow(tidy(_count), kind).groupBy("head").applyInArrow(_sum, kind).toArrow()
     kept, held = np.zeros(CLASSES**ORDER, np.int64), np.zeros(CLASSES**ORDER, np.int64)
     for head, code, k, h in zip(*(got.column(c).to_pylist() for c in got.column_names)):
         at = (head << 18) + np.frombuffer(code, np.int32).astype(np.int64)
@@ -193,7 +193,7 @@ def score(
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
 
 
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, calibrated, isotonic
-from .common import documents, pieces, text_views
+from .common import documents, pieces, text_views, tidy
 
 AROUND = 96
 RECALL = 0.99
@@ -290,7 +290,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reca
                 col = pa.array([o if t is None else t for o, t in zip(col.to_pylist(), texts)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), col, pa.array(spans, _SPANS)], names=["doc_id", "text", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, text string, spans {SPANS_TYPE}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id long, text string, spans {SPANS_TYPE}")
 
 
 def redacted_rows(docs: DataFrame, text_col: str = "text", recall: float = RECALL) -> DataFrame:
@@ -307,7 +307,7 @@ def redacted_rows(docs: DataFrame, text_col: str = "text", recall: float = RECAL
                 col = pa.array([o if t is None else t for o, t in zip(col.to_pylist(), texts)], pa.string())
             yield batch.set_column(at, batch.schema.field(at), col)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, documents, each_piece, mix, routed, shuffle_partitions, stored, unblob
+from .common import U64, blobs, documents, each_piece, mix, routed, shuffle_partitions, stored, tidy, unblob
 from .components import components
 
 WORD_BITS = 36
@@ -160,7 +160,7 @@ def near_pairs(fps: DataFrame, word_bits: int, words: int, most: int) -> DataFra
     of fingerprints that collide and differ in at most ``most`` bits."""
     spark = fps.sparkSession
     buckets = shuffle_partitions(spark)
-    sent = fps.mapInArrow(lambda it: _spread(it, word_bits, words, buckets), "bucket int, keys binary, ids binary")
+    sent = fps.mapInArrow(tidy(lambda it: _spread(it, word_bits, words, buckets)), "bucket int, keys binary, ids binary")
     met = stored(sent.groupBy("bucket").applyInArrow(_meet, "key long, a long, b long, two boolean"), "met")
     other = fps.select(F.col("id").alias("b"), F.col("fp").alias("fq"))
     own = fps.select(F.col("id").alias("a"), "fp")
@@ -173,7 +173,7 @@ def near_pairs(fps: DataFrame, word_bits: int, words: int, most: int) -> DataFra
             near = pa.array(_distance(p, q) <= most)
             yield pa.RecordBatch.from_arrays([x.column("a").filter(near), x.column("b").filter(near)], names=["a", "b"])
 
-    twos = pairs.mapInArrow(verify, "a long, b long")
+    twos = pairs.mapInArrow(tidy(verify), "a long, b long")
     groups = met.where("not two").select("key", "a").join(own, "a")
     many = groups.groupBy("key").applyInArrow(lambda t: _grow(t, most), "a long, b long")
     return twos.union(many)
@@ -205,7 +205,7 @@ def near_duplicates(
             fp = fingerprints(batch.column("text"), n_bits)
             yield pa.RecordBatch.from_arrays([batch.column("id"), blobs(fp, np.arange(len(fp) + 1))], names=["id", "fp"])
 
-    fps = stored(known.mapInArrow(make, "id long, fp binary"), "fps")
+    fps = stored(known.mapInArrow(tidy(make), "id long, fp binary"), "fps")
     reps = stored(fps.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp"), "reps")
     same = fps.join(reps.select("fp", F.col("id").alias("a")), "fp").where("a <> id").select("a", F.col("id").alias("b"))
     # a repeated id has several fingerprints: all of them are compared

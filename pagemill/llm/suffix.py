@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, documents, each_piece, routed, shuffle_partitions, stored, unblob, window_hash, windows_inside
+from .common import U64, blobs, documents, each_piece, routed, shuffle_partitions, stored, tidy, unblob, window_hash, windows_inside
 
 LENGTH = 50
 GRAM = 8
@@ -58,17 +58,19 @@ def _file(batches, length, gram, buckets):
     """One row a bucket: anchors' 8-gram hashes, documents and places."""
     for batch in batches:
         ids = np.asarray(batch.column("id"))
-        for lo, _, w in each_piece(batch.column("text"), 4 << 20):
+        found = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for lo, _, w in each_piece(batch.column("text")):
             _, at, g = anchors(w.hash, w.first, length, gram)
             at = np.unique(at)
-            if not len(at):
-                continue
-            order, which, cuts = routed((g[at] % U64(buckets)).astype(np.int64), buckets)
-            at = at[order]
-            place = (at - w.first[:-1][w.doc[at]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(which.astype(np.int32)), blobs(g[at], cuts), blobs(ids[lo + w.doc[at]], cuts), blobs(place, cuts), blobs(_leading(w.hash, at), cuts)], names=["bucket", "gram", "doc", "place", "lead"]
-            )
+            doc = w.doc[at]
+            found.append((g[at], ids[lo + doc], (at - w.first[:-1][doc]).astype(np.int32), _leading(w.hash, at)))
+        g, doc, place, lead = (np.concatenate(x) for x in zip(*found))
+        if not len(g):
+            continue
+        order, which, cuts = routed((g % U64(buckets)).astype(np.int64), buckets)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(which.astype(np.int32)), blobs(g[order], cuts), blobs(doc[order], cuts), blobs(place[order], cuts), blobs(lead[order], cuts)], names=["bucket", "gram", "doc", "place", "lead"]
+        )
 
 
 def _shared(t: pa.Table) -> pa.Table:
@@ -120,7 +122,7 @@ def _contexts(batches, length, gram, cuts):
         lists = batch.column("places")
         flat, n = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
         begin = np.concatenate([[0], np.cumsum(n)])
-        for lo, hi, w in each_piece(batch.column("text"), 2 << 20):
+        for lo, hi, w in each_piece(batch.column("text")):
             start, at, _ = anchors(w.hash, w.first, length, gram)
             if not len(start):
                 continue
@@ -198,14 +200,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    filed = rows.mapInArrow(lambda it: _file(it, length, gram, buckets), "bucket int, gram binary, doc binary, place binary, lead binary")
+    filed = rows.mapInArrow(tidy(lambda it: _file(it, length, gram, buckets)), "bucket int, gram binary, doc binary, place binary, lead binary")
     shared = stored(filed.groupBy("bucket").applyInArrow(_shared, "id long, place int, lead long"), "anchors")
     # splitters: quantiles of the leading words of all shared anchors
     ranks = [k / buckets for k in range(1, buckets)]
     cuts = shared.agg(F.percentile_approx("lead", F.array(*[F.lit(r) for r in ranks]), 20 * buckets)).first()[0] if ranks else None
     cuts = np.unique(np.array(cuts or [], np.int64))
     places = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
-    around = rows.join(places, "id").select("id", "text", "places").mapInArrow(lambda it: _contexts(it, length, gram, cuts), "bucket int, text binary, head binary")
+    around = rows.join(places, "id").select("id", "text", "places").mapInArrow(tidy(lambda it: _contexts(it, length, gram, cuts)), "bucket int, text binary, head binary")
     found = around.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "id long, start long, stop long, first long")
     return _joined(found).select(F.col("id").alias("doc_id"), "start", "stop", F.col("first").alias("first_doc_id"))
 
@@ -231,7 +233,7 @@ def _joined(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, s[heads], reach[last] if len(heads) else e, low)], names=["id", "start", "stop", "first"])
 
     lists = found.groupBy("id").agg(*(F.collect_list(F.struct("start", "stop", "first")).alias("x"),)).select("id", *(F.col(f"x.{c}").alias(f"{c}s") for c in ("start", "stop", "first")))
-    return lists.mapInArrow(join, "id long, start long, stop long, first long")
+    return lists.mapInArrow(tidy(join), "id long, start long, stop long, first long")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,22 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, mix, pieces, text_views
+from .common import U64, Words, documents, mix, pieces, text_views, tidy
 
 BITS = 20
 LEAST_SEEN = 8
 DIMS = 4
-EPOCHS = 6
+EPOCHS = 10
 RATE = 1.0
 SAMPLE = 8000
-GRAMS = (6,)
+GRAMS = (5,)
 LEAST_QUALITY = 0.5
 MOST_TOXIC = 0.5
 
 
 def feature_ids(w: Words, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(feature ids, first feature of each text): its words, and its runs of
-    4 and 7 lower-case bytes, white space and signs included."""
+    5 lower-case bytes, white space and signs included."""
     n = len(w.low)
     words = (mix(w.hash + U64(77)) >> U64(64 - BITS)).astype(np.int32)
     last = np.repeat(off[1:], np.diff(off))
@@ -173,7 +173,7 @@ def classify(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, mask=null) for x in (p[:, 0], p[:, 1], keep))], names=["doc_id", "quality", "toxic", "keep"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, quality double, toxic double, keep boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, quality double, toxic double, keep boolean")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ SLOTS = 1 << 16
 SWITCH = 14.0
 SMOOTH = 0.5
 UND = "und"
+GROUP = 4 << 20  # bytes of texts whose paths advance together
 
 # Lead bytes and second-byte ranges of the UTF-8 ranges of each script.
 SCRIPTS = {
@@ -209,24 +210,39 @@ def label(batches, model: Model, switch: float, text_col: str = "text"):
     for batch in batches:
         col = batch.column(text_col)
         langs, shares, spans = [], [], []
-        for lo, hi, off, w in _doc_pieces(col, 1 << 20):
-            scores = word_scores(model, w, off)
-            # states that no word of the piece can be in take no part
-            on = np.flatnonzero((scores > -1e4).any(axis=0)) if len(scores) else np.array([len(names) - 1])
-            path = on[viterbi(np.ascontiguousarray(scores[:, on]), w.first, switch)]
-            chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+        _, all_off, _ = text_views(col)
+        for lo, hi in pieces(all_off, GROUP):
+            cols, scores, docs, starts, lengths = set(), [], [], [], []
+            for a, b, off, w in _doc_pieces(col.slice(lo, hi - lo), 1 << 20):
+                full = word_scores(model, w, off)
+                # states that no word of the piece can be in take no part
+                on = np.flatnonzero((full > -1e4).any(axis=0)) if len(full) else np.zeros(0, np.int64)
+                cols.update(on.tolist())
+                scores.append((on, np.ascontiguousarray(full[:, on])))
+                chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+                base = chars[off]
+                docs.append(w.doc + a)
+                starts.append(chars[w.starts] - base[w.doc])
+                lengths.append(np.diff(base))
+            used = np.array(sorted(cols), np.int64)
+            doc, start, length = np.concatenate(docs), np.concatenate(starts), np.concatenate(lengths)
             n_docs = hi - lo
-            counts = np.bincount(w.doc * len(names) + path, minlength=n_docs * len(names)).reshape(n_docs, -1)
+            table = np.full((len(doc), max(1, len(used))), -1e4, np.float32)
+            at = 0
+            for on, part in scores:
+                table[at : at + len(part), np.searchsorted(used, on)] = part
+                at += len(part)
+            path = viterbi(table, np.searchsorted(doc, np.arange(n_docs + 1)), switch)
+            path = used[path] if len(used) else path
+            counts = np.bincount(doc * len(names) + path, minlength=n_docs * len(names)).reshape(n_docs, -1)
             total = counts.sum(axis=1)
             best = np.where(total > 0, np.argmax(counts, axis=1), len(names) - 1)
             langs += names[best].tolist()
             shares += np.where(total > 0, counts[np.arange(n_docs), best] / np.maximum(total, 1), 0.0).tolist()
             change = np.ones(len(path), bool)
-            change[1:] = (path[1:] != path[:-1]) | (w.doc[1:] != w.doc[:-1])
+            change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
             heads = np.flatnonzero(change)
-            base = chars[off]
-            d = w.doc[heads]
-            begin = chars[w.starts[heads]] - base[d]
+            d, begin = doc[heads], start[heads]
             opening = np.ones(len(heads), bool)
             opening[1:] = d[1:] != d[:-1]
             begin[opening] = 0
@@ -234,7 +250,7 @@ def label(batches, model: Model, switch: float, text_col: str = "text"):
             end[:-1] = begin[1:]
             closing = np.ones(len(heads), bool)
             closing[:-1] = d[1:] != d[:-1]
-            end[closing] = (base[1:] - base[:-1])[d[closing]]
+            end[closing] = length[d[closing]]
             row = np.searchsorted(d, np.arange(n_docs + 1))
             spans.append((row, begin, end, names[path[heads]]))
         offsets, shift = [np.zeros(1, np.int64)], 0

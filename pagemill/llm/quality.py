@@ -108,7 +108,8 @@ class Model:
         for f, _ in bags:
             seen[f] += 1
         self.known = seen >= LEAST_SEEN  # rarer features would learn single documents by heart
-        bags = [_share(f[self.known[f]], n[self.known[f]]) for f, n in bags]
+        for i, (f, n) in enumerate(bags):  # in place: the sample is held once
+            bags[i] = _share(f[self.known[f]], n[self.known[f]])
         self.heads = []
         for k in (1, 2):
             at = [i for i, r in enumerate(rows) if r[k] in (0, 1)]

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, encoding, token_bytes
-from .common import U64, blobs, documents, span_hash, stored, text_views, tidy
+from .common import U64, blobs, documents, pieces, span_hash, stored, text_views, tidy
 
 LIMIT = 18
 BLOCK = 128
+GROUP = 8 << 20  # bytes of texts whose equal words are encoded once
 
 
 # ------------------------------------------------------------------- the code
@@ -77,6 +78,7 @@ class Code:
         self.size = np.zeros(1 << limit, np.uint8)
         self.symbol[: first[-1]] = np.repeat(order, step)
         self.size[: first[-1]] = np.repeat(size, step)
+        self.entry = (self.symbol.astype(np.uint32) << np.uint32(8)) | self.size
 
     def pack(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Documents ids[first[i]:first[i+1]] to (bytes, byte offsets,
@@ -111,7 +113,8 @@ class Code:
         out = np.zeros(total, np.int32)
         if not total:
             return out
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
+        window = (padded[:-3] << np.uint32(24)) | (padded[1:-2] << np.uint32(16)) | (padded[2:-1] << np.uint32(8)) | padded[3:]
         of = np.repeat(np.arange(len(n_ids)), np.diff(check_off))
         nth = np.arange(len(of)) - check_off[:-1][of]
         at = checks.astype(np.int64) + 8 * byte_off[:-1][of]
@@ -120,17 +123,16 @@ class Code:
         order = np.argsort(-left, kind="stable")
         at, left, dest = at[order], left[order], dest[order]
         alive = np.searchsorted(-left, -np.arange(1, BLOCK + 1), side="right")
-        mask = (1 << self.limit) - 1
+        mask, shift = np.uint32((1 << self.limit) - 1), 32 - self.limit
         for step in range(BLOCK):
             n = alive[step]
             if not n:
                 break
             p = at[:n]
-            b = p >> 3
-            window = (padded[b].astype(np.uint32) << 24) | (padded[b + 1].astype(np.uint32) << 16) | (padded[b + 2].astype(np.uint32) << 8) | padded[b + 3]
-            key = (window >> (32 - self.limit - (p & 7)).astype(np.uint32)) & np.uint32(mask)
-            out[dest[:n] + step] = self.symbol[key]
-            at[:n] += self.size[key]
+            key = (window[p >> 3] >> (shift - (p & 7)).astype(np.uint32)) & mask
+            got = self.entry[key]
+            out[dest[:n] + step] = got >> np.uint32(8)
+            at[:n] += got & np.uint32(255)
         return out
 
 
@@ -182,12 +184,14 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
     def run(batches):
         for batch in batches:
-            ids, first = word_ids(batch.column("text"), path)
-            out = blobs(ids.astype(kind), first)
-            null = np.asarray(batch.column("text").is_null())
-            if null.any():
-                out = pa.array([None if z else v for z, v in zip(null.tolist(), out.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "ids"])
+            for lo, hi in pieces(text_views(batch.column("text"))[1], GROUP):
+                part = batch.slice(lo, hi - lo)
+                ids, first = word_ids(part.column("text"), path)
+                out = blobs(ids.astype(kind), first)
+                null = np.asarray(part.column("text").is_null())
+                if null.any():
+                    out = pa.array([None if z else v for z, v in zip(null.tolist(), out.to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), out], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, ids binary")
 

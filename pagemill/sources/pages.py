@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 PAGES = "page_id long, url string, html string"
 LEAST_CONFIDENCE = 0.2
+SMALL = 16 << 20
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +18,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spread(scan: DataFrame) -> DataFrame:
     """A bare scan, cut into as many parts as there are cores where its files
-    give fewer: page kernels cost milliseconds a row, a shuffle of the rows far
-    less.  Large tables have more parts than that and stay as they are."""
+    are small: page kernels cost milliseconds a row, a shuffle of the rows far
+    less, and a row group is not split however many parts a file has.  Large
+    tables have more row groups than there are cores and stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * SMALL or scan.rdd.getNumPartitions() < cores else scan
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:

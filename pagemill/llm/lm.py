@@ -1,4 +1,6 @@
-"""Language-model scoring with deleted interpolation.
+"""Character language model with deleted interpolation, of bounded size.
+
+The query scores with ``wordlm``, whose counts grow with the corpus.
 
 A character n-gram model over 64 classes of bytes.  Maximum-likelihood
 estimates of orders 1 to 4 and the uniform one are mixed; the weights depend
@@ -12,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, documents, fold, pieces, text_views, tidy, unblob
+from .common import blobs, fold, pieces, text_views, tidy, unblob
 
 CLASSES = 64
 ORDER = 4
@@ -194,10 +196,3 @@ def score(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
-
-
-def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
-
-
-QUERIES = {"op8_deleted_interpolation": op8_deleted_interpolation}

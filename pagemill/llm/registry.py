@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["simhash", "decontaminate", "langid", "bpe", "pii", "lm", "quality", "huffman", "suffix", "chroma"]
+MODULES = ["simhash", "decontaminate", "langid", "bpe", "pii", "wordlm", "quality", "huffman", "suffix", "chroma"]
 
 
 def queries() -> dict:

@@ -26,7 +26,7 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur percent degree degrees mph kph kmh watt watts volt volts joule joules newton newtons"
 ).split()
-_NUMBER, _NAME, _UNIT = (mix(np.array([i], U64))[0] for i in (11, 22, 33))
+_NUMBER, _NAME, _UNIT, _PLAIN = (mix(np.array([i], U64))[0] for i in (11, 22, 33, 44))
 _UNIT_HASH = np.sort(Words(np.frombuffer(" ".join(UNITS).encode(), np.uint8), np.array([0, len(" ".join(UNITS))])).hash)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -59,14 +59,17 @@ def templates(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of k words, at least half of them no slots."""
-    typed, slot = templates(w)
+    """Starts and hashes of the windows of k words: first of the templates that
+    are at least half no slots (from SHORTEST words on), then of all as plain
+    words; and how many are templates, and the slots."""
     at = windows_inside(w.first, k)
     if not len(at):
-        return at, np.zeros(0, U64), typed, slot
+        return at, np.zeros(0, U64), 0, np.zeros(len(w.starts), bool)
+    plain = window_hash(w.hash ^ _PLAIN, k)[at] ^ U64(k)
+    typed, slot = templates(w)
     slots = np.concatenate([[0], np.cumsum(slot)])
-    at = at[(slots[at + k] - slots[at]) * 2 <= k]
-    return at, window_hash(typed, k)[at] ^ U64(k), typed, slot
+    loose = at[(slots[at + k] - slots[at]) * 2 <= k] if k >= SHORTEST else at[:0]
+    return np.concatenate([loose, at]), np.concatenate([window_hash(typed, k)[loose] ^ U64(k), plain]), len(loose), slot
 
 
 class Index:
@@ -74,21 +77,22 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         rows = []
-        self.total: dict[int, int] = {}
+        self.total: dict[int, np.ndarray] = {}  # windows that are templates, and all
         for number, text in items:
             data = np.frombuffer(text.encode(), np.uint8)
             w = Words(data, np.array([0, len(data)]))
             size = min(k, len(w.starts))
-            if size < SHORTEST:
+            if not size:
                 continue
-            at, h, _, slot = _windows(w, size)
-            self.total[number] = self.total.get(number, 0) + len(at)
-            for i, x in zip(at.tolist(), h.tolist()):
+            at, h, loose, slot = _windows(w, size)
+            self.total[number] = self.total.get(number, 0) + np.array([loose, len(at) - loose])
+            both = set(at[:loose].tolist())
+            for n, (i, x) in enumerate(zip(at.tolist(), h.tolist())):
                 toks = np.zeros(k, U64)
                 toks[:size] = w.hash[i : i + size]
                 mask = np.zeros(k, bool)
-                mask[:size] = slot[i : i + size]
-                rows.append((x, number, i, size, toks, mask))
+                mask[:size] = slot[i : i + size] & (n < loose)
+                rows.append((x, number, i, size, toks, mask, i in both))
         rows.sort(key=lambda r: r[:3])
         self.k = k
         self.hash = np.array([r[0] for r in rows], U64)
@@ -96,7 +100,9 @@ class Index:
         self.at = np.array([r[2] for r in rows], np.int64)
         self.words = np.array([r[4] for r in rows], U64).reshape(-1, k)
         self.slot = np.array([r[5] for r in rows], bool).reshape(-1, k)
-        self.sizes = sorted({r[3] for r in rows})
+        self.size = np.array([r[3] for r in rows], np.int32)
+        self.sizes = sorted(set(self.size.tolist()))
+        self.loose = np.array([r[6] for r in rows], bool)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash & U64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -114,11 +120,13 @@ _OUT = ["doc_id", "item_id", "matched", "windows", "coverage", "kind"]
 _OUT_TYPE = "doc_id long, item_id long, matched long, windows long, coverage double, kind string"
 
 
-def _judge(doc, item, at, words, item_words, slot, total, least) -> list[tuple]:
+def _judge(doc, item, at, words, item_words, slot, loose, total, least) -> list[tuple]:
     """Matches of one document and one item to (matched, coverage, kind).
 
     A window counts where each of its slots agrees with the value that most
-    windows give for that item value.
+    windows give for that item value, or where its plain words are equal.
+    Coverage is that of the windows with a template or that of all windows,
+    whichever is more.
     """
     votes: dict[int, dict[int, int]] = {}
     ii, jj = np.nonzero(slot)
@@ -134,9 +142,10 @@ def _judge(doc, item, at, words, item_words, slot, total, least) -> list[tuple]:
             bad[i] = True
         elif a != b:
             changed = True
-    matched = len(np.unique(at[~bad]))
-    if total and matched / total >= least:
-        return [(doc, item, matched, total, matched / total, "reparameterised" if changed else "exact")]
+    found = ((len(np.unique(at[~bad & loose])), int(total[0])), (len(np.unique(at[~bad])), int(total[1])))
+    matched, windows = max((x for x in found if x[1]), key=lambda x: (x[0] / x[1], x[1]))
+    if matched / windows >= least:
+        return [(doc, item, matched, windows, matched / windows, "reparameterised" if changed else "exact")]
     return []
 
 
@@ -167,8 +176,10 @@ def contamination(
 
     ``coverage`` is the share of the item's windows that the document has with
     corresponding slot values; pairs under ``least_coverage`` are left out.
-    ``kind`` is ``exact`` or ``reparameterised``.  Items of 5 to ``window``-1
-    words are one window; shorter ones match nothing.  Rows with a null id or
+    ``kind`` is ``exact`` or ``reparameterised``.  Windows that are mostly slots
+    match only where all words are equal.  Items under ``window`` words are one
+    window, those of 1 to 4 words match only with equal words, wherever a
+    document has them; items without words match nothing.  Rows with a null id or
     text, on either side, match nothing.  Several rows with one item id are
     that item together; documents that share an id are judged each by itself,
     and equal result rows are given once.  The
@@ -201,7 +212,7 @@ def contamination(
                 doc, item = w.doc[at], x.item[right]
                 for g in _groups(doc, item):
                     r = right[g]
-                    rows += _judge(int(ids[lo + doc[g[0]]]), int(item[g[0]]), x.at[r], words[g], x.words[r], x.slot[r], x.total[int(item[g[0]])], least_coverage)
+                    rows += _judge(int(ids[lo + doc[g[0]]]), int(item[g[0]]), x.at[r], words[g], x.words[r], x.slot[r], x.loose[r], x.total[int(item[g[0]])], least_coverage)
             yield _table(rows)
 
     return docs.mapInArrow(tidy(match), _OUT_TYPE).distinct()
@@ -214,31 +225,36 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
         for batch in batches:
             x = Index(list(zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())), k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.hash.view(np.int64)), pa.array(x.item), pa.array(x.at), blobs(x.words, np.arange(len(x.item) + 1)), blobs(x.slot.view(np.uint8), np.arange(len(x.item) + 1))],
-                names=["h", "item", "at", "iw", "slot"],
+                [pa.array(x.hash.view(np.int64)), pa.array(x.item), pa.array(x.at), pa.array(x.size), pa.array(x.loose), blobs(x.words, np.arange(len(x.item) + 1)), blobs(x.slot.view(np.uint8), np.arange(len(x.item) + 1))],
+                names=["h", "item", "at", "size", "loose", "iw", "slot"],
             )
 
+    windows = items.mapInArrow(tidy(of_items), "h long, item long, at long, size int, loose boolean, iw binary, slot binary")
+    sizes = sorted(r.size for r in windows.select("size").distinct().collect())
+
     def of_docs(batches):
         for batch in batches:
             ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("row"))
             for lo, _, w in each_piece(batch.column("text")):
                 row = np.arange(lo, lo + len(w.first) - 1)
-                for size in range(SHORTEST, k + 1):
+                for size in sizes:
                     at, h, _, _ = _windows(w, size)
                     words = w.hash[np.minimum(at[:, None] + np.arange(k), max(len(w.hash) - 1, 0))] if len(at) else np.zeros((0, k), U64)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row[w.doc[at]]]), pa.array(keys[row[w.doc[at]]]), blobs(words, np.arange(len(at) + 1))], names=["h", "id", "row", "dw"])
 
-    windows = items.mapInArrow(tidy(of_items), "h long, item long, at long, iw binary, slot binary")
     met = docs.withColumn("row", F.xxhash64("text")).mapInArrow(tidy(of_docs), "h long, id long, row long, dw binary").join(windows, "h")
-    totals = windows.groupBy("item").agg(F.count("*").alias("total"))
+    totals = windows.groupBy("item").agg(F.sum(F.col("loose").cast("long")).alias("both"), F.count("*").alias("all"))
+    # a window with a template has two rows, and both are marked
+    totals = totals.select("item", (F.col("both") / 2).cast("long").alias("templates"), (F.col("all") - F.col("both") / 2).cast("long").alias("total"))
     met = met.join(totals, "item")
 
     def score(t: pa.Table) -> pa.Table:
         n = t.num_rows
         iw, dw = (unblob(t.column(c), U64)[0].reshape(n, k) for c in ("iw", "dw"))
         slot = unblob(t.column("slot"), np.uint8)[0].reshape(n, k).astype(bool)
-        doc, item, total = (t.column(c)[0].as_py() for c in ("id", "item", "total"))
-        return pa.Table.from_batches([_table(_judge(doc, item, np.asarray(t.column("at")), dw, iw, slot, total, least))])
+        loose = np.asarray(t.column("loose")).astype(bool)
+        doc, item, *total = (t.column(c)[0].as_py() for c in ("id", "item", "templates", "total"))
+        return pa.Table.from_batches([_table(_judge(doc, item, np.asarray(t.column("at")), dw, iw, slot, loose, total, least))])
 
     return met.groupBy("id", "item", "row").applyInArrow(score, _OUT_TYPE).distinct()
 

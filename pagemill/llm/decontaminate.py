@@ -73,19 +73,25 @@ def _windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Index:
-    """The benchmark's windows, sorted by hash."""
+    """The benchmark's windows, sorted by hash.
+
+    Each distinct text of an item has windows and totals of its own: ``item``
+    numbers the (item, text) pairs, ``owner`` has their items.
+    """
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         rows = []
         self.total: dict[int, np.ndarray] = {}  # windows that are templates, and all
-        for number, text in items:
+        pairs = list(dict.fromkeys(items))
+        self.owner = np.array([p[0] for p in pairs], np.int64)
+        for number, (_, text) in enumerate(pairs):
             data = np.frombuffer(text.encode(), np.uint8)
             w = Words(data, np.array([0, len(data)]))
             size = min(k, len(w.starts))
             if not size:
                 continue
             at, h, loose, slot = _windows(w, size)
-            self.total[number] = self.total.get(number, 0) + np.array([loose, len(at) - loose])
+            self.total[number] = np.array([loose, len(at) - loose])
             both = set(at[:loose].tolist())
             for n, (i, x) in enumerate(zip(at.tolist(), h.tolist())):
                 toks = np.zeros(k, U64)
@@ -155,6 +161,15 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=_OUT)
 
 
+def _best(rows: list[tuple]) -> list[tuple]:
+    """Of one document's matches, that of each item's best covered text."""
+    best: dict[int, tuple] = {}
+    for row in rows:
+        if row[1] not in best or (row[4], row[3], row[5]) > (best[row[1]][4], best[row[1]][3], best[row[1]][5]):
+            best[row[1]] = row
+    return list(best.values())
+
+
 def _groups(doc: np.ndarray, item: np.ndarray):
     order = np.lexsort((item, doc))
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0)])) if len(order) else []
@@ -180,14 +195,15 @@ def contamination(
     match only where all words are equal.  Items under ``window`` words are one
     window, those of 1 to 4 words match only with equal words, wherever a
     document has them; items without words match nothing.  Rows with a null id or
-    text, on either side, match nothing.  Several rows with one item id are
-    that item together; documents that share an id are judged each by itself,
+    text, on either side, match nothing.  Repeated rows of the
+    benchmark count once; several texts with one item id are each judged by
+    their own windows, and the best covered one is given.  Documents that share an id are judged each by itself,
     and equal result rows are given once.  The
     benchmark is broadcast while its text is within ``broadcast_bytes``;
     beyond, both sides' windows meet in a shuffle.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").distinct()
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > broadcast_bytes:
@@ -210,9 +226,12 @@ def contamination(
                     continue
                 words = w.hash[np.minimum(at[:, None] + np.arange(x.k), len(w.hash) - 1)]
                 doc, item = w.doc[at], x.item[right]
+                of_doc: dict[int, list[tuple]] = {}
                 for g in _groups(doc, item):
                     r = right[g]
-                    rows += _judge(int(ids[lo + doc[g[0]]]), int(item[g[0]]), x.at[r], words[g], x.words[r], x.slot[r], x.loose[r], x.total[int(item[g[0]])], least_coverage)
+                    of_doc.setdefault(int(doc[g[0]]), []).extend(_judge(int(ids[lo + doc[g[0]]]), int(x.owner[item[g[0]]]), x.at[r], words[g], x.words[r], x.slot[r], x.loose[r], x.total[int(item[g[0]])], least_coverage))
+                for matches in of_doc.values():
+                    rows += _best(matches)
             yield _table(rows)
 
     return docs.mapInArrow(tidy(match), _OUT_TYPE).distinct()
@@ -224,12 +243,14 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
     def of_items(batches):
         for batch in batches:
             x = Index(list(zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())), k)
+            keys = np.asarray(batch.column("key"))  # one row for each pair: they are distinct
+            totals = np.array([x.total.get(i, (0, 0)) for i in range(len(x.owner))], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.hash.view(np.int64)), pa.array(x.item), pa.array(x.at), pa.array(x.size), pa.array(x.loose), blobs(x.words, np.arange(len(x.item) + 1)), blobs(x.slot.view(np.uint8), np.arange(len(x.item) + 1))],
-                names=["h", "item", "at", "size", "loose", "iw", "slot"],
+                [pa.array(x.hash.view(np.int64)), pa.array(x.owner[x.item]), pa.array(keys[x.item]), pa.array(totals[x.item, 0]), pa.array(totals[x.item, 1]), pa.array(x.at), pa.array(x.size), pa.array(x.loose), blobs(x.words, np.arange(len(x.item) + 1)), blobs(x.slot.view(np.uint8), np.arange(len(x.item) + 1))],
+                names=["h", "item", "key", "templates", "total", "at", "size", "loose", "iw", "slot"],
             )
 
-    windows = items.mapInArrow(tidy(of_items), "h long, item long, at long, size int, loose boolean, iw binary, slot binary")
+    windows = items.withColumn("key", F.xxhash64("text")).mapInArrow(tidy(of_items), "h long, item long, key long, templates long, total long, at long, size int, loose boolean, iw binary, slot binary")
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())
 
     def of_docs(batches):
@@ -243,18 +264,20 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row[w.doc[at]]]), pa.array(keys[row[w.doc[at]]]), blobs(words, np.arange(len(at) + 1))], names=["h", "id", "row", "dw"])
 
     met = docs.withColumn("row", F.xxhash64("text")).mapInArrow(tidy(of_docs), "h long, id long, row long, dw binary").join(windows, "h")
-    totals = windows.groupBy("item").agg(F.sum(F.col("loose").cast("long")).alias("both"), F.count("*").alias("all"))
-    # a window with a template has two rows, and both are marked
-    totals = totals.select("item", (F.col("both") / 2).cast("long").alias("templates"), (F.col("all") - F.col("both") / 2).cast("long").alias("total"))
-    met = met.join(totals, "item")
 
     def score(t: pa.Table) -> pa.Table:
         n = t.num_rows
         iw, dw = (unblob(t.column(c), U64)[0].reshape(n, k) for c in ("iw", "dw"))
         slot = unblob(t.column("slot"), np.uint8)[0].reshape(n, k).astype(bool)
         loose = np.asarray(t.column("loose")).astype(bool)
-        doc, item, *total = (t.column(c)[0].as_py() for c in ("id", "item", "templates", "total"))
-        return pa.Table.from_batches([_table(_judge(doc, item, np.asarray(t.column("at")), dw, iw, slot, loose, total, least))])
+        at, key = np.asarray(t.column("at")), np.asarray(t.column("key"))
+        doc, item = (t.column(c)[0].as_py() for c in ("id", "item"))
+        matches = []
+        for one in np.unique(key):
+            g = np.flatnonzero(key == one)
+            total = [t.column(c)[int(g[0])].as_py() for c in ("templates", "total")]
+            matches += _judge(doc, item, at[g], dw[g], iw[g], slot[g], loose[g], total, least)
+        return pa.Table.from_batches([_table(_best(matches))])
 
     return met.groupBy("id", "item", "row").applyInArrow(score, _OUT_TYPE).distinct()
 

@@ -25,3 +25,12 @@ def test_verbatim_items_of_slots_and_short_ones_are_found(spark, options):
     got = found(spark, list(ITEMS.items()), docs, **options)
     assert set(got) == {(k, k) for k in ITEMS}
     assert all(r.kind == "exact" and r.coverage == 1 for r in got.values())
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_repeated_rows_and_several_texts_of_an_item(spark, options):
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(20)) for x in ("one", "two", "three", "four"))
+    items = [(1, one)] * 5 + [(2, one), (2, two), (2, three), (2, four), (2, two)]
+    got = found(spark, items, [(1, f"before {one} after"), (2, f"before {two} after"), (3, f"{two} and {three[:60]}")], **options)
+    assert set(got) == {(1, 1), (1, 2), (2, 2), (3, 2)}
+    assert all((r.matched, r.windows, r.coverage, r.kind) == (13, 13, 1, "exact") for r in got.values())

@@ -21,7 +21,6 @@ from .components import components
 WORD_BITS = 36
 WORDS = 14
 MOST_DISTANCE = 0.17
-LEAST_FEATURES = 8
 
 _LANES = np.zeros(256, U64)
 for _v in range(256):
@@ -37,10 +36,8 @@ def _planes(seed_hash: np.ndarray, n_bits: int) -> np.ndarray:
     return np.ascontiguousarray(np.vstack(rows)[: (n_bits + 7) // 8])
 
 
-def fingerprints(col: pa.Array, n_bits: int, least: int = LEAST_FEATURES) -> np.ndarray:
-    """Rows of n_bits/8 bytes.  A text of fewer than ``least`` distinct words
-    gets random bits seeded by its words in order, so that only an equal one
-    is near it."""
+def fingerprints(col: pa.Array, n_bits: int) -> np.ndarray:
+    """Rows of n_bits/8 bytes.  Texts without words all get the same random bits."""
     out = np.zeros((len(col), (n_bits + 7) // 8), np.uint8)
     for lo, hi, w in each_piece(col):
         key = np.sort((w.doc.astype(U64) << U64(48)) | (w.hash >> U64(16)))
@@ -49,8 +46,7 @@ def fingerprints(col: pa.Array, n_bits: int, least: int = LEAST_FEATURES) -> np.
         doc = (key >> U64(48)).astype(np.int64)
         first = np.searchsorted(doc, np.arange(hi - lo + 1))
         n = np.diff(first)
-        big = n >= least
-        if big.any():
+        if len(key):
             planes = _planes(key & _KEY48, n_bits)
             # blocks of at most 255 features of one text: byte lanes can't overflow
             per = (n + 254) // 255
@@ -64,14 +60,7 @@ def fingerprints(col: pa.Array, n_bits: int, least: int = LEAST_FEATURES) -> np.
                 count = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), heads, axis=0)
                 bits = 2 * count > n[have][:, None]
                 out[lo + have, k] = np.packbits(bits, axis=1, bitorder="little")[:, 0]
-        small = np.flatnonzero(~big)
-        if len(small):
-            seeds = np.full(len(small), 0x243F6A8885A308D3, U64)
-            left = (w.first[1:] - w.first[:-1])[small]
-            for step in range(int(left.max(initial=0))):
-                on = np.flatnonzero(left > step)
-                seeds[on] = mix(seeds[on] * U64(31) + w.hash[w.first[:-1][small[on]] + step])
-            out[lo + small] = _planes(seeds, n_bits).T
+        out[lo + np.flatnonzero(n == 0)] = _planes(np.array([0x243F6A8885A308D3], U64), n_bits).T
     spare = out.shape[1] * 8 - n_bits
     if spare:
         out[:, -1] &= 0xFF >> spare

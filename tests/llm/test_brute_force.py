@@ -169,24 +169,56 @@ def test_recordings_align(spark):
     assert {k for k in got if k[0] >= 10} <= {(10, 4)} and not any(k[1] >= 10 for k in got)
 
 
-def test_alignment_recall(spark, sf_dir):
-    """Copies by brute force over all pairs of recordings are found."""
-    rows = [(d, t) for d, t, _ in corpus(sf_dir) if len(t.split()) >= 60]
-    col = pa.array([t for _, t in rows])
+def whole_overlaps(fps):
+    """Pairs by brute force: the offset at which most equal integers agree, of
+    all integers of all pairs, and the bit errors of the whole overlap there."""
+    where = defaultdict(list)
+    for d, fp in fps.items():
+        for t, x in enumerate(fp.tolist()):
+            where[x].append((d, t))
+    votes = defaultdict(Counter)
+    for at in where.values():
+        for i, (a, t) in enumerate(at):
+            for b, u in at[i + 1 :]:
+                if a != b:
+                    lo, hi = ((a, t), (b, u)) if a < b else ((b, u), (a, t))
+                    votes[hi[0], lo[0]][lo[1] - hi[1]] += 1
+    out = {}
+    for (b, a), v in votes.items():
+        offset, n = max(v.items(), key=lambda x: (x[1], -abs(x[0]), -x[0]))
+        lo, hi = max(0, offset), min(len(fps[a]), len(fps[b]) + offset)
+        x, y = (chroma.upper_bits(f[lo - k : hi - k]) for f, k in ((fps[a], 0), (fps[b], offset)))
+        out[b, a] = (offset, n, np.bitwise_count(x ^ y).sum() / (16 * len(x)), hi - lo)
+    return out
+
+
+def test_alignment_against_all_pairs(spark, sf_dir):
+    r = random.Random(3)
+    rows = [(d, t) for d, t, _ in corpus(sf_dir)]
+    passage, base = " ".join(words(70, 71)), " ".join(words(300, 72))
+    rows += [(5000 + k, " ".join([*words(150, 500 + k), passage, *words(150, 600 + k)])) for k in range(40)]
+    rows += [(6000 + k, edited(base, 0.02 * (k % 3), r)) for k in range(6)] + [(6100, " ".join(words(80, 73)) + " " + base), (6101, " ".join(base.split()[90:]))]
+    rows += [(7000 + k, " ".join(words(200, 74))) for k in range(45)] + [(7100, edited(" ".join(words(200, 74)), 0.01, r))]
     fps = {}
-    for lo, hi, c, first in chroma.melody(col):
+    for lo, hi, c, first in chroma.melody(pa.array([t for _, t in rows])):
         fp, at = chroma.packed_integers(c, first)
-        fps |= {rows[lo + k][0]: fp[at[k] : at[k + 1]] for k in range(hi - lo)}
-    ids = sorted(fps)
-    near = set()
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            n = min(len(fps[a]), len(fps[b]))
-            if n and np.bitwise_count(fps[a][:n] ^ fps[b][:n]).sum() <= 0.1 * 32 * n and abs(len(fps[a]) - len(fps[b])) < 0.1 * n:
-                near.add((b, a))
-    got = components(chroma.aligned(spark.createDataFrame(rows, "doc_id long, text string"), media_col="text", decoder=chroma.melody).selectExpr("match_id a", "rec_id b"))
-    root = {r.id: r.root for r in got.collect()}
-    assert near and sum(root.get(a, a) == root.get(b, b) for a, b in near) >= 0.9 * len(near)
+        fps |= {rows[lo + k][0]: fp[at[k] : at[k + 1]] for k in range(hi - lo) if at[k + 1] > at[k]}
+    brute = whole_overlaps(fps)
+    got = {(x.rec_id, x.match_id): x for x in chroma.aligned(spark.createDataFrame(rows, "doc_id long, text string"), media_col="text", decoder=chroma.melody).collect()}
+    copies = range(7000, 7101)
+    want = {k for k, (_, n, error, size) in brute.items() if error <= 0.15 and n >= 0.2 * size and (k[0] not in copies or k[1] == 7000)}
+    assert len(want) > 60 and len(want & set(got)) >= 0.9 * len(want)
+    assert {(7000 + k, 7000) for k in range(1, 45)} | {(7100, 7000)} <= set(got)
+    # pairs with a passage in common and no more are none
+    assert not any(5000 <= a < 5040 for a, _ in got)
+    wrong = [k for k in got if brute[k][2] > 0.3]
+    assert len(wrong) <= 0.02 * len(got), wrong
+    assert sum(got[k].offset == brute[k][0] for k in got) >= 0.95 * len(got)
+
+
+def test_upper_bits():
+    x = np.random.default_rng(1).integers(0, 1 << 32, 50).astype(np.uint32)
+    assert chroma.upper_bits(x).tolist() == [sum((v >> (2 * k + 1) & 1) << k for k in range(16)) for v in x.tolist()]
 
 
 # ------------------------------------------------------------------------ 4 bpe

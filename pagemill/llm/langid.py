@@ -1,10 +1,12 @@
 """Language spans: script ranges narrow the candidates of each word, and a
 Viterbi path over per-word scores, with a penalty for switching, labels runs.
 
-A word's score in a language is the log-likelihood of its byte trigrams (with
-word edges) under counts of all labelled documents.  Languages with a script
-of their own need no counts.  The state ``und`` scores trigrams uniformly, so
-it wins where no language fits.
+A script's candidates are the languages whose labelled documents are written
+in it; a script that none is written in has a language by default.  A word's
+score in a labelled language is the log-likelihood of its byte trigrams (with
+word edges) under counts of all labelled documents; a default language needs
+no counts.  The state ``und`` scores trigrams uniformly, so it wins where no
+language fits.
 """
 
 from __future__ import annotations
@@ -23,21 +25,37 @@ SMOOTH = 0.5
 UND = "und"
 GROUP = 4 << 20  # bytes of texts whose paths advance together
 
-# Lead bytes and second-byte ranges of the UTF-8 ranges of each script.
+SCRIPT_SHARE = 0.05  # of a language's labelled words in a script, from which it is a candidate there
+
+# Lead bytes and second-byte ranges of the UTF-8 ranges of each script, and the
+# languages by default; the first is taken where nothing tells them apart.
 SCRIPTS = {
-    "el": [(0xCD, 0xB0, 0xBF), (0xCE, 0x80, 0xBF), (0xCF, 0x80, 0xBF)],
-    "ru": [(0xD0, 0x80, 0xBF), (0xD1, 0x80, 0xBF), (0xD2, 0x80, 0xBF), (0xD3, 0x80, 0xBF)],
-    "hy": [(0xD4, 0xB0, 0xBF), (0xD5, 0x80, 0xBF)],
-    "he": [(0xD6, 0x90, 0xBF), (0xD7, 0x80, 0xBF)],
-    "ar": [(0xD8, 0x80, 0xBF), (0xD9, 0x80, 0xBF), (0xDA, 0x80, 0xBF), (0xDB, 0x80, 0xBF)],
-    "hi": [(0xE0, 0xA4, 0xA5)],
-    "th": [(0xE0, 0xB8, 0xB9)],
-    "ka": [(0xE1, 0x82, 0x83)],
-    "ja": [(0xE3, 0x81, 0x83)],
-    "zh": [(0xE4, 0xB8, 0xBF), (0xE5, 0x80, 0xBF), (0xE6, 0x80, 0xBF), (0xE7, 0x80, 0xBF), (0xE8, 0x80, 0xBF), (0xE9, 0x80, 0xBF)],
-    "ko": [(0xEA, 0xB0, 0xBF), (0xEB, 0x80, 0xBF), (0xEC, 0x80, 0xBF), (0xED, 0x80, 0x9F)],
+    "Greek": (["el"], [(0xCD, 0xB0, 0xBF), (0xCE, 0x80, 0xBF), (0xCF, 0x80, 0xBF)]),
+    "Cyrillic": (["ru"], [(0xD0, 0x80, 0xBF), (0xD1, 0x80, 0xBF), (0xD2, 0x80, 0xBF), (0xD3, 0x80, 0xBF)]),
+    "Armenian": (["hy"], [(0xD4, 0xB0, 0xBF), (0xD5, 0x80, 0xBF)]),
+    "Hebrew": (["he"], [(0xD6, 0x90, 0xBF), (0xD7, 0x80, 0xBF)]),
+    "Arabic": (["ar"], [(0xD8, 0x80, 0xBF), (0xD9, 0x80, 0xBF), (0xDA, 0x80, 0xBF), (0xDB, 0x80, 0xBF)]),
+    "Devanagari": (["hi"], [(0xE0, 0xA4, 0xA5)]),
+    "Bengali": (["bn"], [(0xE0, 0xA6, 0xA7)]),
+    "Gurmukhi": (["pa"], [(0xE0, 0xA8, 0xA9)]),
+    "Gujarati": (["gu"], [(0xE0, 0xAA, 0xAB)]),
+    "Tamil": (["ta"], [(0xE0, 0xAE, 0xAF)]),
+    "Telugu": (["te"], [(0xE0, 0xB0, 0xB1)]),
+    "Kannada": (["kn"], [(0xE0, 0xB2, 0xB3)]),
+    "Malayalam": (["ml"], [(0xE0, 0xB4, 0xB5)]),
+    "Sinhala": (["si"], [(0xE0, 0xB6, 0xB7)]),
+    "Thai": (["th"], [(0xE0, 0xB8, 0xB9)]),
+    "Lao": (["lo"], [(0xE0, 0xBA, 0xBB)]),
+    "Tibetan": (["bo"], [(0xE0, 0xBC, 0xBF)]),
+    "Burmese": (["my"], [(0xE1, 0x80, 0x81)]),
+    "Georgian": (["ka"], [(0xE1, 0x82, 0x83)]),
+    "Ethiopic": (["am"], [(0xE1, 0x88, 0x8D)]),
+    "Khmer": (["km"], [(0xE1, 0x9E, 0x9F)]),
+    "Kana": (["ja"], [(0xE3, 0x81, 0x83)]),
+    "Han": (["zh", "ja"], [(0xE3, 0x90, 0xBF), (0xE4, 0x80, 0xBF), (0xE5, 0x80, 0xBF), (0xE6, 0x80, 0xBF), (0xE7, 0x80, 0xBF), (0xE8, 0x80, 0xBF), (0xE9, 0x80, 0xBF)]),
+    "Hangul": (["ko"], [(0xEA, 0xB0, 0xBF), (0xEB, 0x80, 0xBF), (0xEC, 0x80, 0xBF), (0xED, 0x80, 0x9F)]),
 }
-_NAMES = list(SCRIPTS)
+N_SCRIPTS = 1 + len(SCRIPTS)  # Latin, and all that has no range here, is 0
 
 
 def _script(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -46,13 +64,21 @@ def _script(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     head = buf[starts]
     odd = np.flatnonzero(head >= 0xCD)
     if len(odd):
-        a, b = head[odd], buf[np.minimum(starts[odd] + 1, len(buf) - 1)]
-        for k, ranges in enumerate(SCRIPTS.values()):
-            for lead, lo, hi in ranges:
-                out[odd[(a == lead) & (b >= lo) & (b <= hi)]] = k + 1
+        out[odd] = _TABLE[head[odd], buf[np.minimum(starts[odd] + 1, len(buf) - 1)]]
     return out
 
 
+def _script_table() -> np.ndarray:
+    out = np.zeros((256, 256), np.int8)
+    for k, (_, ranges) in enumerate(SCRIPTS.values()):
+        for lead, lo, hi in ranges:
+            out[lead, lo : hi + 1] = k + 1
+    return out
+
+
+_TABLE = _script_table()
+
+
 def _trigrams(w: Words, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(trigram slot of each word byte, first byte of each word among them)."""
     n = len(w.low)
@@ -83,21 +109,28 @@ def _doc_pieces(col: pa.Array, most: int):
 
 
 class Model:
-    """Log-likelihoods [states, slots]; the last state is ``und``."""
-
-    def __init__(self, langs: list[str], logp: np.ndarray):
-        self.langs, self.logp = langs, logp
-        own = [s for s in _NAMES if s not in langs]
+    """Log-likelihoods [labelled languages and ``und``, slots], and which
+    languages each script has: ``written`` [languages, scripts]."""
+
+    def __init__(self, langs: list[str], logp: np.ndarray, written: np.ndarray):
+        self.langs, self.logp, self.written = langs, logp, written
+        self.by_default: dict[int, list[int]] = {}
+        own: list[str] = []
+        for k, (defaults, _) in enumerate(SCRIPTS.values()):
+            if not written[:, k + 1].any():
+                own += [d for d in defaults if d not in own and d not in langs]
         self.states = [*langs, *own, UND]
-        self.by_script = {0: list(range(len(langs)))}
-        for k, s in enumerate(_NAMES):
-            self.by_script[k + 1] = [self.states.index(s)]
+        for k, (defaults, _) in enumerate(SCRIPTS.values()):
+            if not written[:, k + 1].any():
+                self.by_default[k + 1] = [self.states.index(d) for d in defaults]
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, slots: int = SLOTS, smooth: float = SMOOTH) -> Model:
-    """Trigram counts of every labelled document; counts come to the driver,
-    at most ``slots`` for a language, however large the corpus is."""
+def fit(docs: DataFrame, text_col: str, lang_col: str, slots: int = SLOTS, smooth: float = SMOOTH, script_share: float = SCRIPT_SHARE) -> Model:
+    """Counts of trigrams and of words by script, of every labelled document;
+    counts come to the driver, at most ``slots`` and one a script for a
+    language, however large the corpus is."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    wide = slots + N_SCRIPTS
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -106,9 +139,11 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, slots: int = SLOTS, smoot
             names, code = lang.dictionary.to_pylist(), np.asarray(lang.indices)
             for lo, hi, off, w in _doc_pieces(batch.column("text"), 1 << 20):
                 slot, heads = _trigrams(w, off)
-                own = np.repeat(code[lo:hi][w.doc], w.ends - w.starts) if len(slot) else np.zeros(0, np.int64)
-                c = np.bincount(own * slots + slot, minlength=len(names) * slots).reshape(len(names), slots)
-                for name, x in zip(names, c):
+                of_word = code[lo:hi][w.doc]
+                own = np.repeat(of_word, w.ends - w.starts) if len(slot) else np.zeros(0, np.int64)
+                c = np.bincount(own * wide + slot, minlength=len(names) * wide)
+                c += np.bincount(of_word * wide + slots + _script(w.buf, w.starts), (~_bare(w)).astype(float), len(names) * wide).astype(np.int64)
+                for name, x in zip(names, c.reshape(len(names), wide)):
                     total[name] = total.get(name, 0) + x
         for name, x in total.items():
             at = np.flatnonzero(x)
@@ -116,21 +151,31 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, slots: int = SLOTS, smoot
 
     got = rows.mapInArrow(tidy(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c")).orderBy("lang").toArrow()
     langs = got.column("lang").to_pylist()
-    counts = np.zeros((len(langs), slots))
+    counts = np.zeros((len(langs), wide))
     for k in range(len(langs)):
         c = got.column("c")[k].values
         counts[k, np.asarray(c.field("slot"))] = np.asarray(c.field("n"))
+    counts, scripts = counts[:, :slots], counts[:, slots:]
     seen = max(1, int((counts.sum(axis=0) > 0).sum()))
     logp = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * seen))
-    return Model(langs, np.vstack([logp, np.full((1, slots), -np.log(seen))]).astype(np.float32))
+    written = scripts >= np.maximum(script_share * scripts.sum(axis=1, keepdims=True), 1)
+    return Model(langs, np.vstack([logp, np.full((1, slots), -np.log(seen))]).astype(np.float32), written)
+
+
+def _bare(w: Words) -> np.ndarray:
+    """Words of ASCII digits alone."""
+    digits = np.concatenate([[0], np.cumsum((w.low >= 48) & (w.low <= 57))])
+    return digits[w.ends] - digits[w.starts] == w.ends - w.starts
 
 
 def word_scores(m: Model, w: Words, off: np.ndarray) -> np.ndarray:
     """[words, states] scores; a state that the script rules out gets -1e4.
 
-    Words of digits alone score 0 everywhere: they follow their neighbours.
+    A default language gets half of what ``und`` gets, and those that come
+    second a little less.  Words of digits alone score 0 everywhere: they
+    follow their neighbours.
     """
-    n, k = len(w.starts), len(m.langs)
+    n = len(w.starts)
     out = np.full((n, len(m.states)), -1e4, np.float32)
     if not n:
         return out
@@ -138,19 +183,18 @@ def word_scores(m: Model, w: Words, off: np.ndarray) -> np.ndarray:
     script = _script(w.buf, w.starts)
     und = np.add.reduceat(m.logp[-1][slot], heads)
     out[:, -1] = und
-    latin = script == 0
-    for j in range(k):
-        s = np.add.reduceat(m.logp[j][slot], heads)
-        ok = latin if m.langs[j] not in SCRIPTS else script == 1 + _NAMES.index(m.langs[j])
-        out[ok, j] = s[ok]
-    for q in np.unique(script[script > 0]):
-        state = m.by_script[int(q)][0]
-        if state >= k:
-            out[script == q, state] = und[script == q] * 0.5
-    digit = (w.low >= 48) & (w.low <= 57)
-    digits = np.concatenate([[0], np.cumsum(digit)])
-    bare = digits[w.ends] - digits[w.starts] == w.ends - w.starts
-    out[bare] = 0
+    present = np.flatnonzero(np.bincount(script, minlength=N_SCRIPTS))
+    for j in range(len(m.langs)):
+        here = [q for q in present if m.written[j, q]]
+        if here:
+            s = np.add.reduceat(m.logp[j][slot], heads)
+            ok = np.isin(script, here)
+            out[ok, j] = s[ok]
+    for q in present:
+        for rank, state in enumerate(m.by_default.get(int(q), ())):
+            on = script == q
+            out[on, state] = und[on] * (0.5 + 0.02 * rank)
+    out[_bare(w)] = 0
     return out
 
 
@@ -276,8 +320,10 @@ def languages(
     Learns from ``labelled`` (default ``docs``), columns ``text_col`` and
     ``lang_col``; rows with a null in either teach nothing.  A null or empty
     text, and one without words, is ``und`` with share 0 and no spans; a null
-    id stays null; repeated rows are each labelled.  With nothing to learn
-    from, Latin text is ``und``.  Other columns are ignored.
+    id stays null; repeated rows are each labelled; ties go to the language
+    that comes first by name.  With nothing to learn from, Latin text is
+    ``und``, and other scripts have their languages by default.  An empty
+    table gives an empty one.  Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else docs, text_col, lang_col))
 

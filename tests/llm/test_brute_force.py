@@ -396,6 +396,53 @@ def test_mixed_spans(spark):
     assert abs(got[1].spans[1].start - len(by["en"])) < 60
 
 
+RU = "это простой русский текст про язык который мы хотим узнать и который был написан здесь сегодня днём"
+UK = "це простий український текст про мову яку ми хочемо впізнати і який був написаний тут сьогодні вдень її ґанок"
+BG = "това е прост български текст за езика който искаме да познаем и който беше написан тук днес следобед"
+FA = "این یک متن ساده فارسی است که می‌خواهیم زبان آن را بشناسیم و امروز در اینجا نوشته شده است"
+AR = "هذا نص عربي بسيط عن اللغة التي نريد أن نعرفها والذي كتب هنا اليوم بعد الظهر"
+EN = "this is a simple english text about the language that we want to know and that was written here today"
+
+
+@pytest.mark.parametrize("taught", [{"en": EN, "uk": UK, "bg": BG, "fa": FA}, {"en": EN, "uk": UK, "ru": RU, "bg": BG, "fa": FA, "ar": AR}])
+def test_languages_of_one_script_are_learned(spark, taught):
+    labelled = spark.createDataFrame([(k, t, c) for k, (c, t) in enumerate(taught.items())], "doc_id long, text string, lang string")
+    tests = {c: " ".join(t.split()[3:12]) for c, t in taught.items()}
+    rows = [(k, t, None) for k, t in enumerate(tests.values())] + [(90, tests["uk"] + " " + tests["bg"] + " " + tests["en"], None), (91, "漢字 かな 漢字 です", None), (92, "中文 文字 中国", None), (93, "한국어 글", None)]
+    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labelled=labelled, switch=4.0).collect()}
+    assert [got[k].lang for k in range(len(tests))] == list(tests)
+    assert [s.lang for s in got[90].spans] == ["uk", "bg", "en"]
+    assert [got[k].lang for k in (91, 92, 93)] == ["ja", "zh", "ko"]
+    kept = langid.labelled_rows(labelled).where("found = lang")
+    assert kept.count() == len(taught)
+
+
+def test_word_scores_equal_plain_counts(spark):
+    """Trigram scores and candidates, by plain loops over a small table."""
+    taught = {"bg": BG, "en": EN + " и", "uk": UK}
+    rows = spark.createDataFrame([(t, c) for c, t in taught.items()], "text string, lang string")
+    model = langid.fit(rows, "text", "lang")
+
+    def slots(word):
+        data = b" " + word.encode() + b" "
+        return [((data[k - 1] << 16 | data[k] << 8 | data[k + 1]) * 2654435761 % (1 << 32)) >> 16 for k in range(1, len(data) - 1)]
+
+    counts = {c: Counter(s for word in t.lower().split() for s in slots(word)) for c, t in taught.items()}
+    seen = len(set().union(*counts.values()))
+    text = "text про language беше написан 12 чай her"
+    data = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, len(data)])
+    got = langid.word_scores(model, Words(data, off), off)
+    assert model.states[:3] == ["bg", "en", "uk"] and "ru" not in model.states and model.states[-1] == "und"
+    for k, word in enumerate(text.split()):
+        for j, c in enumerate(["bg", "en", "uk"]):
+            fits = (c == "en") == word.isascii()
+            total = sum(counts[c].values()) + 0.5 * seen
+            want = 0 if word == "12" else sum(np.log((counts[c][s] + 0.5) / total) for s in slots(word)) if fits else -1e4
+            assert abs(got[k, j] - want) < 1e-2
+        assert abs(got[k, -1] - (0 if word == "12" else -np.log(seen) * len(word.encode()))) < 1e-2
+
+
 # -------------------------------------------------------------------- 7 simhash
 
 

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, documents, mix, pieces, text_views, tidy
 
 BITS = 20
 LEAST_SEEN = 8
+SEEN_ONE_IN = 100
 DIMS = 4
 EPOCHS = 10
 RATE = 1.0
 SAMPLE = 8000
+SAMPLE_BYTES = 64 << 20
 GRAMS = (5,)
 LEAST_QUALITY = 0.5
 MOST_TOXIC = 0.5
@@ -107,7 +109,8 @@ class Model:
         seen = np.zeros(1 << BITS, np.int32)
         for f, _ in bags:
             seen[f] += 1
-        self.known = seen >= LEAST_SEEN  # rarer features would learn single documents by heart
+        # rarer features would learn single documents by heart
+        self.known = seen >= max(1, min(LEAST_SEEN, len(bags) // SEEN_ONE_IN))
         for i, (f, n) in enumerate(bags):  # in place: the sample is held once
             bags[i] = _share(f[self.known[f]], n[self.known[f]])
         self.heads = []
@@ -117,7 +120,8 @@ class Model:
             if len(set(y.tolist())) < 2:  # one class or none: always that one
                 self.heads.append((np.zeros(1 << BITS, np.float32), 20.0 if (y.all() if len(y) else k == 1) else -20.0))
             else:
-                self.heads.append(Head(seed=k).train([bags[i] for i in at], y).margins())
+                margin, base = Head(seed=k).train([bags[i] for i in at], y).margins()
+                self.heads.append((np.where(self.known, margin, np.float32(0)), base))
 
     def probabilities(self, col: pa.Array) -> np.ndarray:
         """[texts, 2]: of quality and of toxicity."""
@@ -133,15 +137,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of at most ``sample`` labelled documents, those of least hashed
-    id; rows with a null id or text teach nothing."""
+    id, and of those as many as have ``sample_bytes`` of text together (a first
+    one that is longer is taken alone).  An id with several texts teaches its
+    least one; rows with a null id or text teach nothing."""
     lab = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).where("id is not null")
     chosen = lab.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "q", "t").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     # the sample is bounded by ``sample`` rows of 24 bytes: safe to broadcast
-    got = texts.join(F.broadcast(chosen), "id").select("h", "id", "text", "q", "t")
-    rows = sorted(got.collect(), key=lambda r: (r["h"], r["id"], r["text"]))
+    got = texts.join(F.broadcast(chosen), "id").groupBy("h", "id", "q", "t").agg(F.min("text").alias("text"))
+    order = Window.orderBy("h", "id", F.col("q").asc_nulls_first(), F.col("t").asc_nulls_first())
+    got = got.withColumn("before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = got.where(F.coalesce("before", F.lit(0)) + F.when(F.col("before").isNull(), 0).otherwise(F.octet_length("text")) <= sample_bytes).collect()
+    rows.sort(key=lambda r: (r["h"], r["id"], r["text"], str(r["q"]), str(r["t"])))
     return Model([(r["text"], r["q"], r["t"]) for r in rows])
 
 
@@ -153,18 +162,21 @@ def classify(
     least_quality: float = LEAST_QUALITY,
     most_toxic: float = MOST_TOXIC,
     sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
     """``(doc_id, quality, toxic, keep)`` for every row of ``docs``.
 
     ``quality`` and ``toxic`` are probabilities; ``keep`` is quality of at
     least ``least_quality`` and toxic under ``most_toxic``.  ``labels`` has
     doc_id, quality and toxic, 0 or 1 or null; the model learns from a sample
-    of at most ``sample`` rows.  A null text has null results; an empty one is
+    of at most ``sample`` rows and ``sample_bytes`` of text, and knows the
+    features that 8 of its documents have, or one in a hundred where these are
+    fewer, but one at least.  A null text has null results; an empty one is
     scored by the offsets alone; a null id stays null; repeated rows are each
     scored.  Without labels quality is 1 and toxic 0.  Other columns are
     ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample, sample_bytes))
 
     def run(batches):
         for batch in batches:

@@ -600,6 +600,73 @@ def test_inference_equals_the_network():
         assert abs((z[1] - z[0]) - (share @ margin[f] + base)) < 1e-3
 
 
+def test_classification_equals_a_plain_network(spark):
+    """Features, training and scores by plain loops, over a small table."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["good", "fine", "bad", "Ugly", "wörd", "one,", "two"]) for _ in range(r.randint(3, 25))) for _ in range(24)]
+    labels_ = [(k, int("bad" in t), int(t.count("Ugly") > 2)) for k, t in enumerate(texts[:18])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame(labels_, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.classify(docs, lab).collect()}
+
+    def bag(text):
+        low, out = text.lower().encode(), Counter()
+        for h in hashes(text):
+            out[int(quality.mix(np.array([h], U64) + U64(77))[0]) >> (64 - quality.BITS)] += 1
+        for k in range(len(low) - 4):
+            out[int.from_bytes(low[k : k + 5]) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - quality.BITS)] += 1
+        return out
+
+    order = [x.doc_id for x in lab.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h").collect()]
+    by = {k: (q, t) for k, q, t in labels_}
+    for label_, name in enumerate(("quality", "toxic")):
+        rows = [(bag(texts[k]), by[k][label_]) for k in order]
+        g = np.random.default_rng(label_ + 1)
+        e = g.uniform(-1 / quality.DIMS, 1 / quality.DIMS, (1 << quality.BITS, quality.DIMS))
+        w, b = g.uniform(-1, 1, (2, quality.DIMS)), np.zeros(2)
+        count = Counter(y for _, y in rows)
+        weight = {y: (len(rows) / (2 * n)) ** 0.5 for y, n in count.items()}
+        shuffle = np.random.default_rng(3)
+        for epoch in range(quality.EPOCHS):
+            step = quality.RATE * (1 - epoch / quality.EPOCHS)
+            for i in shuffle.permutation(len(rows)):
+                c, y = rows[i]
+                share = {f: n / sum(c.values()) for f, n in c.items()}
+                v = sum(s * e[f] for f, s in share.items())
+                z = w @ v + b
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                p[y] -= 1
+                p *= weight[y]
+                back, norm = w.T @ p, sum(s * s for s in share.values())
+                for f, s in share.items():
+                    e[f] -= step * s / norm * back
+                w -= step * np.outer(p, v) / (1 + v @ v)
+                b -= 0.1 * step * p
+        known = set().union(*(c for c, _ in rows))
+        for k, text in enumerate(texts):
+            c = {f: n for f, n in bag(text).items() if f in known}
+            v = sum(n * e[f] for f, n in c.items()) / max(1, sum(c.values()))
+            z = w @ v + b
+            assert abs(got[k][name] - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-3
+    unseen = spark.createDataFrame([(101, "qqqq zzzz"), (102, "")], "doc_id long, text string")
+    a, b = quality.classify(unseen.union(docs), lab).where("doc_id > 100").collect()
+    assert (a.quality, a.toxic) == (b.quality, b.toxic)  # features that were never learned add nothing
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"text {k} {j} " + "x" * 100) for k in range(30) for j in range(3)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep, quality.Model = quality.Model, lambda rows: seen.append(rows)
+    try:
+        quality.fit(docs, lab, sample=20)
+        quality.fit(docs, lab, sample_bytes=1000)
+        quality.fit(docs, lab, sample_bytes=10)
+    finally:
+        quality.Model = keep
+    assert [len(x) for x in seen] == [20, 9, 1] and all(t.split()[2] == "0" for x in seen for t, *_ in x)
+
+
 # ------------------------------------------------------------------- 10 huffman
 
 

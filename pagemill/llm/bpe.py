@@ -1,10 +1,13 @@
 """BPE encoding with content-defined chunk reuse, and exact decoding.
 
 Rolling-hash chunks: a text is cut where the hash of its last bytes says so,
-hence equal passages of different documents give equal chunks.  A task encodes
-a chunk once and reuses its ids.  A join of two chunks is repaired by
-re-encoding the text around it, from the nearest border that is sure to stand on
-its left to the nearest on its right, where both sides agree with the whole.
+hence equal passages of different documents give equal chunks.  Packs of texts
+send their distinct chunks to buckets by hash; a chunk that several packs have
+is encoded there, once, and its ids go back to each of them.  Each pack then
+joins the ids of its texts' chunks, encoding those itself that it alone has.
+A join of two chunks is repaired by re-encoding the text around it, from the
+nearest border that is sure to stand on its left to the nearest on its right,
+where both sides agree with the whole.
 """
 
 from __future__ import annotations
@@ -17,16 +20,18 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, documents, mix, pieces, text_views, tidy
+from .common import U64, blobs, documents, mix, pieces, release, routed, shuffle_partitions, span_hash, stored, text_views, tidy, unblob
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROLL = 16
 MEAN_CHUNK = 192
 CACHE_BYTES = 48 << 20
 PIECE = 512 << 10
+PACK = 4 << 20  # bytes of texts that are one row of the table of packs
 
 
 def default_vocabulary() -> str:
@@ -75,9 +80,10 @@ def chunk_ends(buf: np.ndarray, mean: int = MEAN_CHUNK, roll: int = ROLL) -> np.
 
 
 class Encoder:
-    """Encodes texts chunk by chunk, with a bounded store of known chunks."""
+    """Encodes texts chunk by chunk, with the ids of ``known`` chunks by hash
+    and a bounded store of its own."""
 
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, mean: int = MEAN_CHUNK):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, mean: int = MEAN_CHUNK, known: dict[int, array] | None = None):
         self.enc = encoding(path)
         self.encode = lambda text, plain=self.enc.encode_ordinary: array("i", plain(text))
         self.sizes = np.diff(token_bytes(path)[1]).tolist()
@@ -85,9 +91,14 @@ class Encoder:
         self.old: dict[str, array] = {}
         self.new: dict[str, array] = {}
         self.held = 0
+        self.known = known or {}
         self.reused = self.repaired = 0
 
-    def chunk(self, text: str) -> array:
+    def chunk(self, text: str, hash_: int | None) -> array:
+        ids = self.known.get(hash_)
+        if ids is not None:
+            self.reused += 1
+            return ids
         ids = self.new.get(text)
         if ids is None:
             ids = self.old.pop(text, None)
@@ -103,8 +114,9 @@ class Encoder:
             self.reused += 1
         return ids
 
-    def text(self, text: str, ends: list[int]) -> array:
-        """The ids of a text cut at character offsets ``ends``.
+    def text(self, text: str, ends: list[int], hashes: list[int]) -> array:
+        """The ids of a text cut at character offsets ``ends``, into chunks of
+        the given hashes.
 
         ``out`` always is the encoding of the text so far.  A border is sure
         where a space follows what is none: the pattern splits there in
@@ -113,10 +125,13 @@ class Encoder:
         the first one of the chunk behind it.
         """
         out = array("i")
-        sizes, lo, find = self.sizes, 0, text.find
-        for hi in [*ends, len(text)]:
+        sizes, lo, begin, find = self.sizes, 0, 0, text.find
+        for hi, hash_ in zip([*ends, len(text)], hashes):
             if hi == lo:
                 continue
+            if lo != begin:  # joined to the one before
+                hash_ = None
+            begin = hi
             q = find(" ", lo + 1, hi)
             while q >= 0 and text[q - 1].isspace():
                 q = find(" ", q + 1, hi)
@@ -124,7 +139,7 @@ class Encoder:
                 if hi < len(text):
                     continue
                 q = hi
-            ids = self.chunk(text[lo:hi])
+            ids = self.chunk(text[lo:hi], hash_)
             if lo and (text[lo] != " " or text[lo - 1].isspace()):
                 p = text.rfind(" ", 0, lo)
                 while text[p - 1].isspace():
@@ -150,6 +165,43 @@ class Encoder:
         return out
 
 
+# lead bytes of characters among which some are white space
+_SPACED = np.zeros(256, bool)
+_SPACED[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _sure(buf: np.ndarray) -> np.ndarray:
+    """Offsets of spaces behind a character that is certainly no white space."""
+    at = np.flatnonzero(buf[1:] == 32) + 1
+    before = buf[at - 1]
+    good = (before > 32) & (before < 127)
+    wide = np.flatnonzero(before >= 0x80)
+    lead = before[wide]
+    for back in (2, 3, 4):
+        more = (lead & 0xC0) == 0x80
+        lead = np.where(more, buf[np.maximum(at[wide] - back, 0)], lead)
+    good[wide] = (lead >= 0xC0) & ~_SPACED[lead]
+    return at[good]
+
+
+def cut(part: np.ndarray, o: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the chunks of texts part[o[i]:o[i+1]], all but the
+    last of a text with a sure border inside.  A window that decides a cut lies
+    in one text, so that equal texts are cut alike."""
+    at = chunk_ends(part, mean)
+    owner = np.minimum(np.searchsorted(o, at, "right") - 1, len(o) - 2)
+    at = at[at - ROLL >= o[owner]]
+    borders = np.unique(np.concatenate([o[:-1], at]))
+    sure = _sure(part)
+    keep = np.ones(len(borders), bool)
+    keep[1:] = np.searchsorted(sure, borders[1:]) > np.searchsorted(sure, borders[:-1] + 1)
+    keep[np.searchsorted(borders, o[:-1])] = True
+    start = borders[keep]
+    start = start[start < len(part)]
+    end = np.concatenate([start[1:], [len(part)]])[: len(start)]
+    return start, end, span_hash(part, start, end) if len(start) else np.zeros(0, U64)
+
+
 def encode_batch(col: pa.Array, encoder: Encoder) -> list[array | None]:
     out: list[array | None] = []
     buf, off, null = text_views(col)
@@ -158,19 +210,16 @@ def encode_batch(col: pa.Array, encoder: Encoder) -> list[array | None]:
         o = off[lo : hi + 1] - off[lo]
         data = part.tobytes()
         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-        cut = chunk_ends(part, encoder.mean)
-        # a window must lie in one text, so that equal texts are cut alike
-        owner = np.searchsorted(o, cut, "right") - 1
-        owner = np.minimum(owner, hi - lo - 1)
-        keep = cut - ROLL >= o[owner]
-        cut, owner = cut[keep], owner[keep]
-        at = np.searchsorted(owner, np.arange(hi - lo + 1))
-        ends = (chars[cut] - chars[o[owner]]).tolist()
+        start, end, hashes = cut(part, o, encoder.mean)
+        at = np.searchsorted(start, o)
+        ends = (chars[end] - chars[o[np.searchsorted(o, start, "right") - 1]]).tolist()
+        hashes = hashes.tolist()
         for i in range(hi - lo):
             if null[lo + i]:
                 out.append(None)
             else:
-                out.append(encoder.text(data[o[i] : o[i + 1]].decode(), ends[at[i] : at[i + 1]]))
+                a, z = at[i], at[i + 1]
+                out.append(encoder.text(data[o[i] : o[i + 1]].decode(), ends[a : z - 1], hashes[a:z]))
     return out
 
 
@@ -194,6 +243,122 @@ def _lists(ids: list[array | None]) -> tuple[pa.ListArray, np.ndarray, np.ndarra
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), mask=mask), flat, off
 
 
+# ------------------------------------------------------ chunks of all documents
+
+
+def _packs(batches):
+    """(id, text) rows to packs of texts: ids and whether known, sizes (-1 for
+    null), and the texts, compressed."""
+    at, task = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        buf, off, null = text_views(batch.column("text"))
+        ids = batch.column("id")
+        for lo, hi in pieces(off, PACK):
+            some = ids.slice(lo, hi - lo)
+            pair = np.stack([np.asarray(some.is_valid()).astype(np.int64), np.asarray(some.fill_null(0)).astype(np.int64)])
+            size = np.where(null[lo:hi], -1, np.diff(off[lo : hi + 1]))
+            one = np.array([0, 1])
+            text = pa.compress(buf[off[lo] : off[hi]].tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) | at]), blobs(pair.reshape(1, -1), one), blobs(size.reshape(1, -1), one), pa.array([text], pa.binary())], names=["pack", "ids", "size", "text"])
+            at += 1
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes) of a pack's texts."""
+    size = np.frombuffer(row["size"], np.int64)
+    n = int(np.maximum(size, 0).sum())
+    return np.frombuffer(pa.decompress(row["text"], n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8), size
+
+
+def _slices(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes buf[start[i]:start[i]+size[i]], one after another."""
+    ends = np.cumsum(size)
+    return buf[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _send(batches, mean: int, buckets: int):
+    """A pack's distinct chunks, to the buckets of their hashes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            buf, size = _unpack(row)
+            off = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
+            for lo, hi in pieces(off):
+                a, z, h = cut(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], mean)
+                found.append((a + off[lo], z - a, h))
+            start, length, h = (np.concatenate(x) for x in zip(*found))
+            h, first = np.unique(h, return_index=True)
+            start, length = start[first], length[first]
+            order, which, edge = routed((h % U64(buckets)).astype(np.int64), buckets)
+            start, length, h = start[order], length[order], h[order]
+            texts = [pa.compress(_slices(buf, start[a:z], length[a:z]).tobytes(), "zstd", asbytes=True) for a, z in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), row["pack"])), blobs(h, edge), blobs(length.astype(np.int32), edge), pa.array(texts, pa.binary())], names=["bucket", "pack", "hash", "size", "text"])
+
+
+def _encode_shared(t: pa.Table, path: str) -> pa.Table:
+    """To each pack, the ids of those of its chunks that other packs have too:
+    each is encoded here, once."""
+    h, n = unblob(t.column("hash"), U64)
+    size = unblob(t.column("size"), np.int32)[0].astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    total = np.bincount(row, size, len(n)).astype(np.int64)
+    begin = np.cumsum(size) - size - (np.cumsum(total) - total)[row]
+    own, first, which, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(many > 1)
+    encode, ids = encoding(path).encode_ordinary, [np.zeros(0, np.int32)] * len(own)
+    for r in np.unique(row[first[shared]]).tolist():
+        data = pa.decompress(t.column("text")[r].as_py(), int(total[r]), "zstd", asbytes=True)
+        for c in shared[row[first[shared]] == r].tolist():
+            a = int(begin[first[c]])
+            ids[c] = np.array(encode(data[a : a + int(size[first[c]])].decode()), np.int32)
+    keep = many[which] > 1
+    which, row, h = which[keep], row[keep], h[keep]
+    edge = np.searchsorted(row, np.arange(len(n) + 1))
+    some = np.flatnonzero(np.diff(edge))
+    lengths = np.array([len(x) for x in ids], np.int32)
+    flat = [pa.compress(np.concatenate([ids[c] for c in which[edge[r] : edge[r + 1]].tolist()]).tobytes(), "zstd", asbytes=True) for r in some.tolist()]
+    cuts = np.concatenate([edge[some], [len(row)]])
+    packs = np.asarray(t.column("pack"))[some]
+    release()
+    return pa.table({"pack": pa.array(packs), "hash": blobs(h, cuts).cast(pa.binary()), "n": blobs(lengths[which], cuts), "flat": pa.array(flat, pa.binary())})
+
+
+def _known(rows: list[dict]) -> dict[int, array]:
+    """Ids by hash, of what ``_encode_shared`` sent."""
+    out: dict[int, array] = {}
+    for r in rows:
+        n = np.frombuffer(r["n"], np.int32)
+        ids = array("i", pa.decompress(r["flat"], 4 * int(n.sum()), "zstd", asbytes=True))
+        ends = np.cumsum(n).tolist()
+        for h, a, z in zip(np.frombuffer(r["hash"], U64).tolist(), [0, *ends[:-1]], ends):
+            out[h] = ids[a:z]
+    return out
+
+
+def _rows(doc_id: pa.Array, col: pa.Array, encoder: Encoder, path: str) -> pa.RecordBatch:
+    """Encoded rows; ``exact`` says that their ids decode to their text."""
+    lists, data, same = [], None, None
+    for _ in range(2):
+        lists = encode_batch(col, encoder) if data is None else [encoder.encode(t) if t is not None and not s else x for t, s, x in zip(col.to_pylist(), same, lists)]
+        ids, flat, off = _lists(lists)
+        buf, at, null = text_views(col)
+        data, size = decode_ids(flat, path)
+        ends = np.concatenate([[0], np.cumsum(size)])[off]
+        same = ends[1:] - ends[:-1] == at[1:] - at[:-1]
+        if len(data) == len(buf) and same.all():
+            wrong = np.concatenate([[0], np.cumsum(data != buf)])
+            same &= wrong[at[1:]] == wrong[at[:-1]]
+        else:
+            same &= [data[ends[i] : ends[i + 1]].tobytes() == buf[at[i] : at[i + 1]].tobytes() for i in range(len(same))]
+        if same.all():
+            break  # else two chunks had one hash: those texts are encoded directly
+    return pa.RecordBatch.from_arrays([doc_id, ids, pa.array(np.diff(off), mask=null), pa.array(same, mask=null)], names=["doc_id", "ids", "n_tokens", "exact"])
+
+
+_RESULT = "doc_id long, ids array<int>, n_tokens long, exact boolean"
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -206,36 +371,39 @@ def encode(
     ``ids`` equals the vocabulary's encoding of the whole text; ``exact`` says
     that decoding them gave the text's bytes again.  A null text has null ids,
     n_tokens and exact; an empty one has no ids.  A null id stays null,
-    repeated rows are each encoded, other columns are ignored.
+    repeated rows are each encoded (their chunks once), an empty table gives an
+    empty one, other columns are ignored.
     """
     path = vocabulary or default_vocabulary()
-
-    def run(batches):
-        encoder = Encoder(path, mean=mean_chunk)
-        for batch in batches:
-            for lo, hi in pieces(text_views(batch.column("text"))[1], PIECE):
-                part = batch.slice(lo, hi - lo)
-                col = part.column("text")
-                ids, flat, off = _lists(encode_batch(col, encoder))
-                buf, at, null = text_views(col)
-                data, size = decode_ids(flat, path)
-                ends = np.concatenate([[0], np.cumsum(size)])[off]
-                same = ends[1:] - ends[:-1] == at[1:] - at[:-1]
-                if len(data) == len(buf) and same.all():
-                    wrong = np.concatenate([[0], np.cumsum(data != buf)])
-                    same &= wrong[at[1:]] == wrong[at[:-1]]
-                else:
-                    same &= [data[ends[i] : ends[i + 1]].tobytes() == buf[at[i] : at[i + 1]].tobytes() for i in range(len(same))]
-                n = np.diff(off)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(n, mask=null), pa.array(same, mask=null)], names=["doc_id", "ids", "n_tokens", "exact"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, n_tokens long, exact boolean")
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    packs = stored(rows.mapInArrow(tidy(_packs), "pack long, ids binary, size binary, text binary"), "bpe-packs")
+    sent = packs.mapInArrow(tidy(lambda it: _send(it, mean_chunk, buckets)), "bucket int, pack long, hash binary, size binary, text binary")
+    shared = sent.groupBy("bucket").applyInArrow(lambda t: _encode_shared(t, path), "pack long, hash binary, n binary, flat binary")
+    nothing = F.lit(None).cast("binary")
+    both = packs.select("pack", "ids", "size", "text", *(nothing.alias(c) for c in ("hash", "n", "flat"))).unionByName(shared.select("pack", *(nothing.alias(c) for c in ("ids", "size", "text")), "hash", "n", "flat"))
+
+    def finish(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = next(r for r in rows if r["size"] is not None)
+        encoder = Encoder(path, mean=mean_chunk, known=_known([r for r in rows if r["size"] is None]))
+        buf, size = _unpack(own)
+        pair = np.frombuffer(own["ids"], np.int64).reshape(2, -1)
+        off = np.concatenate([[0], np.cumsum(np.maximum(size, 0))]).astype(np.int32)
+        col = pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(buf), pa.array(size >= 0).buffers()[1])
+        ids = pa.array(pair[1], mask=pair[0] == 0)
+        out = [_rows(ids.slice(lo, hi - lo), col.slice(lo, hi - lo), encoder, path) for lo, hi in pieces(off.astype(np.int64), PIECE)]
+        release()
+        return pa.Table.from_batches(out)
+
+    return both.groupBy("pack").applyInArrow(finish, _RESULT)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, text)``: the texts of id lists.  Null ids give a null text;
-    bytes that are no UTF-8 become replacement characters."""
+    """``(doc_id, text)``: the texts of id lists.  Null ids give a null text,
+    no ids an empty one; bytes that are no UTF-8 become replacement characters.
+    A null doc_id stays null, repeated rows are each decoded, an empty table
+    gives an empty one, other columns are ignored."""
     path = vocabulary or default_vocabulary()
 
     def run(batches):

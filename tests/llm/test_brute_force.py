@@ -237,6 +237,47 @@ def test_chunked_encoding_is_exact():
         assert e.reused > 0
 
 
+def test_shared_chunks_are_encoded_once(monkeypatch):
+    """Packs with passages in common, step by step: no chunk is encoded twice."""
+    path, passage = bpe.default_vocabulary(), " ".join(words(3000, 1))
+    packs = []
+    for k in range(3):
+        texts = [" ".join(words(200, 10 + k)) + " " + passage, passage, "", "漢字 " * 300 + passage]
+        data = [t.encode() for t in texts]
+        size = np.array([len(d) for d in data])
+        packs.append({"pack": k, "size": size.tobytes(), "text": pa.compress(b"".join(data), "zstd", asbytes=True)})
+    table = pa.RecordBatch.from_pylist(packs)
+    sent = pa.Table.from_batches(list(bpe._send([table], bpe.MEAN_CHUNK, 5)))
+    count = Counter()
+    real = bpe.encoding(path)
+
+    class Counting:
+        def encode_ordinary(self, text):
+            count[text] += 1
+            return real.encode_ordinary(text)
+
+    monkeypatch.setattr(bpe, "encoding", lambda p: Counting())
+    back = pa.concat_tables([bpe._encode_shared(sent.filter(pa.array(np.asarray(sent.column("bucket")) == b)), path) for b in range(5)])
+    assert count and max(count.values()) == 1
+    shared = set(count)
+    for k, row in enumerate(packs):
+        known = bpe._known(back.filter(pa.array(np.asarray(back.column("pack")) == k)).to_pylist())
+        assert len(known) > 50
+        buf, size = bpe._unpack(row)
+        text = buf.tobytes().decode()
+        e = bpe.Encoder(path, known=known)
+        assert list(bpe.encode_batch(pa.array([text]), e)[0]) == real.encode_ordinary(text) and e.reused > 50
+    assert all(count[t] == 1 for t in shared)
+
+
+def test_sure_borders():
+    text = "a b  c\u00a0 d\u3000 é я 漢 \t x\n y"
+    data = text.encode()
+    got = {len(data[:k].decode()) for k in bpe._sure(np.frombuffer(data, np.uint8)).tolist()}
+    sure = {k for k in range(1, len(text)) if text[k] == " " and not text[k - 1].isspace()}
+    assert got <= sure and sure - got <= {text.index("漢") + 1}
+
+
 def test_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = bpe.encode(docs)

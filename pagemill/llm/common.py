@@ -93,6 +93,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(spark: SparkSession, n_bytes: int = 0) -> int:
+    """Buckets for ``n_bytes`` of rows that are grouped whole in Python workers:
+    each of some ``BUCKET_BYTES``, and several a partition, so that partitions
+    come out even."""
+    return max(4 * shuffle_partitions(spark), min(n_bytes // BUCKET_BYTES, 1 << 20))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's bytes; 0 where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 56 else 0
+
+
 # ------------------------------------------------------------------ text bytes
 
 

@@ -10,17 +10,20 @@ the shuffle.  Colliding fingerprints are then compared in full.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, documents, each_piece, mix, routed, shuffle_partitions, stored, tidy, unblob
+from .common import U64, blobs, buckets_for, documents, each_piece, mix, routed, stored, tidy, unblob
 from .components import components
 
 WORD_BITS = 36
 WORDS = 14
 MOST_DISTANCE = 0.17
+TYPICAL = 0.12  # share of differing bits at which ``plan`` keeps the recall
 
 _LANES = np.zeros(256, U64)
 for _v in range(256):
@@ -80,6 +83,24 @@ def variants(fp: np.ndarray, word_bits: int, words: int) -> np.ndarray:
     return (w[:, :, None] ^ flips).reshape(len(fp), -1)
 
 
+def recall(distance: float, word_bits: int, words: int) -> float:
+    """How likely fingerprints that differ in this share of bits collide."""
+    one = sum(comb(word_bits, k) * distance**k * (1 - distance) ** (word_bits - k) for k in range(3))
+    return 1 - (1 - one) ** words
+
+
+def plan(n: int) -> tuple[int, int]:
+    """(word_bits, words) for ``n`` fingerprints.
+
+    A key of b bits is met by chance by 37 n / 2^b others: words get longer
+    from 2^28 fingerprints on, and more of them keep the recall.
+    """
+    bits, words = max(WORD_BITS, max(n - 1, 1).bit_length() + 8), WORDS
+    while recall(TYPICAL, bits, words) < recall(TYPICAL, WORD_BITS, WORDS) - 1e-9:
+        words += 1
+    return bits, words
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -148,7 +169,7 @@ def near_pairs(fps: DataFrame, word_bits: int, words: int, most: int) -> DataFra
     """``(id, fp)`` with distinct fp to edges whose components are the groups
     of fingerprints that collide and differ in at most ``most`` bits."""
     spark = fps.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = buckets_for(spark, fps.count() * words * (word_bits + 1) * 16)
     sent = fps.mapInArrow(tidy(lambda it: _spread(it, word_bits, words, buckets)), "bucket int, keys binary, ids binary")
     met = stored(sent.groupBy("bucket").applyInArrow(_meet, "key long, a long, b long, two boolean"), "met")
     other = fps.select(F.col("id").alias("b"), F.col("fp").alias("fq"))
@@ -172,22 +193,27 @@ def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    word_bits: int = WORD_BITS,
-    words: int = WORDS,
+    word_bits: int | None = None,
+    words: int | None = None,
     most_distance: float = MOST_DISTANCE,
 ) -> DataFrame:
     """``(doc_id, keep_id)``: each document that goes, and the one that stays.
 
     The least id of a group stays.  Groups are the connected components of
     "fingerprints collide and differ in at most ``most_distance`` of their
-    bits"; equal fingerprints are one group at once.  Rows with a null id or
+    bits"; equal fingerprints are one group at once.  Fingerprints are of
+    ``words`` words of ``word_bits`` bits, by default those of ``plan``: 14 of
+    36 up to 2^28 rows.  Rows with a null id or
     text are in no group; texts without words equal each other.  A repeated id with
     several texts joins their groups.  Other columns are ignored, whatever
     their names.  An empty table gives an empty one.
     """
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+    if word_bits is None or words is None:
+        word_bits, words = plan(known.count())
     n_bits = word_bits * words
     most = int(most_distance * n_bits)
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def make(batches):
         for batch in batches:

@@ -498,6 +498,20 @@ def test_variants_meet_within_the_radius():
     assert simhash.variants(a, 36, 14).shape == (1, 14 * 37)
 
 
+def test_plan_keeps_the_recall():
+    for n in (0, 1000, 1 << 28):
+        assert simhash.plan(n) == (simhash.WORD_BITS, simhash.WORDS)
+    bits, count = simhash.plan(5 * 10**10)
+    assert bits == 44 and simhash.recall(0.12, bits, count) >= simhash.recall(0.12, 36, 14) - 1e-9
+    # collisions of random fingerprints at a given distance, against the formula
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2, (2000, 504)).astype(np.uint8)
+    b = a ^ (r.random(a.shape) < 0.12)
+    w = [simhash.fingerprint_words(np.packbits(x, axis=1, bitorder="little"), 36, 14) for x in (a, b)]
+    met = (np.bitwise_count(w[0] ^ w[1]) <= 2).any(axis=1).mean()
+    assert abs(met - simhash.recall(0.12, 36, 14)) < 0.03
+
+
 def test_fingerprint_is_the_majority():
     text = " ".join(words(700, 1))
     fp = simhash.fingerprints(pa.array([text, "", None, "few words"]), 128)

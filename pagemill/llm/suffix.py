@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, documents, each_piece, routed, shuffle_partitions, stored, tidy, unblob, window_hash, windows_inside
+from .common import U64, blobs, buckets_for, documents, each_piece, plan_bytes, routed, stored, tidy, unblob, window_hash, windows_inside
 
 LENGTH = 50
 GRAM = 8
+SAMPLED = 64  # anchors a bucket, of which the splitters are quantiles
 _LOW = U64((1 << 28) - 1)
 
 
@@ -198,14 +199,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not gram <= length:
         raise ValueError("length must be at least the anchor's words")
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = buckets_for(spark, 4 * plan_bytes(docs))  # word hashes take more room than Parquet text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     filed = rows.mapInArrow(tidy(lambda it: _file(it, length, gram, buckets)), "bucket int, gram binary, doc binary, place binary, lead binary")
     shared = stored(filed.groupBy("bucket").applyInArrow(_shared, "id long, place int, lead long"), "anchors")
-    # splitters: quantiles of the leading words of all shared anchors
-    ranks = [k / buckets for k in range(1, buckets)]
-    cuts = shared.agg(F.percentile_approx("lead", F.array(*[F.lit(r) for r in ranks]), 20 * buckets)).first()[0] if ranks else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    # splitters: quantiles of the leading words of a sample of the shared anchors
+    n = shared.count()
+    some = shared.select("lead").sample(fraction=min(1.0, SAMPLED * buckets / max(n, 1)), seed=7).toArrow().column("lead")
+    lead = np.sort(np.asarray(some).astype(np.int64))
+    cuts = np.unique(lead[np.linspace(0, len(lead), buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
     places = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
     around = rows.join(places, "id").select("id", "text", "places").mapInArrow(tidy(lambda it: _contexts(it, length, gram, cuts)), "bucket int, text binary, head binary")
     found = around.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "id long, start long, stop long, first long")

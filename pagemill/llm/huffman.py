@@ -18,6 +18,7 @@ from .common import U64, blobs, documents, pieces, span_hash, stored, text_views
 
 LIMIT = 18
 BLOCK = 128
+SLICE = 2 << 20  # bytes of packed ids that are coded together
 GROUP = 8 << 20  # bytes of texts whose equal words are encoded once
 
 
@@ -178,7 +179,9 @@ def word_ids(col: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``(doc_id, ids)``, ids packed as 4-byte integers, or 2-byte ones where
-    the vocabulary has at most 65,536; null where the text is null."""
+    the vocabulary has at most 65,536; null where the text is null, empty where
+    it is.  A null id stays null, repeated rows are one row each, an empty table
+    gives an empty one; other columns are ignored."""
     path = vocabulary or default_vocabulary()
     kind = id_type(path)
 
@@ -222,7 +225,8 @@ def compress(tokens: DataFrame, n_ids: int, kind=np.int32, limit: int = LIMIT) -
     ``tokens`` has doc_id and packed ids; it is read twice.  ``data`` is the
     bit string, ``checkpoints`` 4-byte bit offsets of each block of 128 ids,
     ``exact`` that decoding gave the ids again.  Null ids give nulls, no ids
-    an empty string, repeated rows one row each.
+    an empty string, repeated rows one row each; ties between counts go to the
+    lower id; an empty table gives an empty one; other columns are ignored.
     """
     lengths = code_lengths(global_counts(tokens, n_ids, kind), limit)
     shared = tokens.sparkSession.sparkContext.broadcast(lengths)
@@ -231,8 +235,8 @@ def compress(tokens: DataFrame, n_ids: int, kind=np.int32, limit: int = LIMIT) -
     def run(batches):
         code = Code(shared.value, limit)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo, hi in pieces(text_views(batch.column("ids"))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
                 raw, off, null = text_views(part.column("ids"))
                 ids, first = np.frombuffer(raw.tobytes(), kind).astype(np.int64), off // width
                 data, byte_off, checks, check_off = code.pack(ids, first)
@@ -249,7 +253,9 @@ def compress(tokens: DataFrame, n_ids: int, kind=np.int32, limit: int = LIMIT) -
 
 
 def decompress(packed: DataFrame, lengths: np.ndarray, limit: int = LIMIT) -> DataFrame:
-    """``(doc_id, ids)`` as arrays of int; null data gives null ids."""
+    """``(doc_id, ids)`` as arrays of int; null data gives null ids, an empty
+    string none.  A null doc_id stays null, repeated rows are one row each, an
+    empty table gives an empty one; other columns are ignored."""
     shared = packed.sparkSession.sparkContext.broadcast(lengths)
 
     def run(batches):

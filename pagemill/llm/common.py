@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,43 +19,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+_LOG = logging.getLogger(__name__)
 PIECE_BYTES = 1 << 20
 
 # --------------------------------------------------------------- stored tables
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where unset."""
+    """The folder in ``spark.checkpoint.dir``.  Where it is unset, one of this
+    machine in local mode, as in tests; on a cluster that is an error, for its
+    machines don't share such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_STORED: dict[str, SparkSession] = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at interpreter exit
-        pass
+    _STORED.pop(path, None)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_stored() -> None:
+    """Delete all tables that operators stored in this session, once their
+    results have been read: a driver that lives on calls this between jobs."""
+    left = []
+    for path, spark in list(_STORED.items()):
+        if spark.sparkContext._jsc is None:  # its session has ended
+            left.append(_STORED.pop(path) and path)
+            continue
+        try:
+            _delete(spark, path)
+        except Exception as e:  # the gateway may be gone at interpreter exit
+            left.append(f"{path} ({e})")
+    if left:
+        _LOG.warning("%d stored tables are left, such as %s", len(left), left[0])
+
+
+atexit.register(clear_stored)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs a re-read and not a re-run.
-    The files go when the driver's interpreter ends.
+    The files go with ``clear_stored`` or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    _STORED[path] = spark
     back = spark.read.schema(schema).parquet(path)
     back._stored_path = path
     return back

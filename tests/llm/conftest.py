@@ -27,3 +27,11 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def stored_tables(spark):
+    from pagemill.llm import common
+
+    yield
+    common.clear_stored()

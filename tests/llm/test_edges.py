@@ -74,3 +74,53 @@ def test_rows_keep_their_columns(spark, odd_docs):
     named = langid.labelled_rows(odd_docs)
     assert named.columns == [*odd_docs.columns, "_found"]
     assert named.where(F.col("_found") == "und").count() >= 4
+
+
+@pytest.fixture(scope="module")
+def bench_dir(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("bench")
+    bench(spark).write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "decontamination", "pii_redaction", "bpe_encoding"])
+def test_stages_over_an_empty_table(spark, no_docs, bench_dir, name):
+    out = stages()[name](spark, no_docs, bench_dir)
+    assert out.collect() == [] and (name == "bpe_encoding" or out.columns == no_docs.columns)
+
+
+def test_stages_over_odd_rows(spark, odd_docs, bench_dir):
+    key = lambda rows: sorted((str(r.doc_id), str(r.text)[:20]) for r in rows)
+    every = odd_docs.collect()
+    run = lambda name: stages()[name](spark, odd_docs, bench_dir)
+    found = run("language_id")
+    assert found.columns == odd_docs.columns
+    assert sorted(str(r.doc_id) for r in found.collect()) == sorted(["1", "None", "4", "4", "5", "7", "9", "10"])
+    kept = run("near_dedup")
+    assert kept.columns == odd_docs.columns and key(kept.collect()) == key(r for r in every if r.doc_id not in (4, 6, 8))
+    clean = run("decontamination")
+    assert clean.columns == odd_docs.columns and key(clean.collect()) == key(every)
+    red = run("pii_redaction")
+    assert red.columns == odd_docs.columns
+    by = {r.doc_id: r for r in red.collect()}
+    assert (by[2].text, by[2].n_chars, by[3].text, by[3].n_chars) == (None, None, "", 0) and "[EMAIL]" in by[10].text and red.count() == len(every)
+    ids = {r.doc_id: r for r in run("bpe_encoding").collect()}
+    assert ids[2].ids is None and ids[3].ids == [] and ids[5].exact
+
+
+def test_stored_tables_are_cleared(spark, odd_docs):
+    import os
+
+    from pagemill.llm import common
+
+    table = common.stored(odd_docs, "test")
+    path = table._stored_path.removeprefix("file://").removeprefix("file:")
+    assert table.count() == odd_docs.count() and os.path.exists(path)
+    common.clear_stored()
+    assert not os.path.exists(path) and not common._STORED

@@ -2,12 +2,12 @@
 
 Rolling-hash chunks: a text is cut where the hash of its last bytes says so,
 hence equal passages of different documents give equal chunks.  Packs of texts
-send their distinct chunks to buckets by hash; a chunk that several packs have
-is encoded there, once, and its ids go back to each of them.  Each pack then
-joins the ids of its texts' chunks, encoding those itself that it alone has.
-A join of two chunks is repaired by re-encoding the text around it, from the
-nearest border that is sure to stand on its left to the nearest on its right,
-where both sides agree with the whole.
+send the hashes of their chunks to buckets, which name one pack for each chunk
+that several have; that pack encodes it, once, and its ids go to the others.
+Each pack then joins the ids of its texts' chunks, and encodes those that it
+alone has.  A join of two chunks is repaired by re-encoding the text around
+it, from the nearest border that is sure to stand on its left to the nearest on
+its right, where both sides agree with the whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, documents, mix, pieces, release, routed, shuffle_partitions, span_hash, stored, text_views, tidy, unblob
+from .common import U64, blobs, documents, mix, pieces, release, routed, shuffle_partitions, span_hash, text_views, tidy, unblob
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ROLL = 16
@@ -270,62 +270,91 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(pa.decompress(row["text"], n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8), size
 
 
-def _slices(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes buf[start[i]:start[i]+size[i]], one after another."""
-    ends = np.cumsum(size)
-    return buf[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+def _chunks(buf: np.ndarray, off: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the distinct chunks of texts buf[off[i]:off[i+1]]."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
+    for lo, hi in pieces(off):
+        a, z, h = cut(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], mean)
+        found.append((a + off[lo], z + off[lo], h))
+    start, end, h = (np.concatenate(x) for x in zip(*found))
+    h, first = np.unique(h, return_index=True)
+    return start[first], end[first], h
 
 
-def _send(batches, mean: int, buckets: int):
-    """A pack's distinct chunks, to the buckets of their hashes."""
+def _hashes(batches, mean: int, buckets: int):
+    """The hashes of each pack's chunks, by bucket."""
+    at, task = 0, TaskContext.get().partitionId()
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            buf, size = _unpack(row)
-            off = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
-            for lo, hi in pieces(off):
-                a, z, h = cut(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], mean)
-                found.append((a + off[lo], z - a, h))
-            start, length, h = (np.concatenate(x) for x in zip(*found))
-            h, first = np.unique(h, return_index=True)
-            start, length = start[first], length[first]
+        buf, off, _ = text_views(batch.column("text"))
+        for lo, hi in pieces(off, PACK):
+            h = _chunks(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], mean)[2]
             order, which, edge = routed((h % U64(buckets)).astype(np.int64), buckets)
-            start, length, h = start[order], length[order], h[order]
-            texts = [pa.compress(_slices(buf, start[a:z], length[a:z]).tobytes(), "zstd", asbytes=True) for a, z in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), row["pack"])), blobs(h, edge), blobs(length.astype(np.int32), edge), pa.array(texts, pa.binary())], names=["bucket", "pack", "hash", "size", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), (task << 32) | at)), blobs(h[order], edge)], names=["bucket", "pack", "hash"])
+            at += 1
 
 
-def _encode_shared(t: pa.Table, path: str) -> pa.Table:
-    """To each pack, the ids of those of its chunks that other packs have too:
-    each is encoded here, once."""
+def _holders(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, pack, is it the least pack that has it) of a bucket's chunks that
+    several packs have, ordered by pack."""
     h, n = unblob(t.column("hash"), U64)
-    size = unblob(t.column("size"), np.int32)[0].astype(np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    total = np.bincount(row, size, len(n)).astype(np.int64)
-    begin = np.cumsum(size) - size - (np.cumsum(total) - total)[row]
-    own, first, which, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(many > 1)
-    encode, ids = encoding(path).encode_ordinary, [np.zeros(0, np.int32)] * len(own)
-    for r in np.unique(row[first[shared]]).tolist():
-        data = pa.decompress(t.column("text")[r].as_py(), int(total[r]), "zstd", asbytes=True)
-        for c in shared[row[first[shared]] == r].tolist():
-            a = int(begin[first[c]])
-            ids[c] = np.array(encode(data[a : a + int(size[first[c]])].decode()), np.int32)
-    keep = many[which] > 1
-    which, row, h = which[keep], row[keep], h[keep]
-    edge = np.searchsorted(row, np.arange(len(n) + 1))
-    some = np.flatnonzero(np.diff(edge))
-    lengths = np.array([len(x) for x in ids], np.int32)
-    flat = [pa.compress(np.concatenate([ids[c] for c in which[edge[r] : edge[r + 1]].tolist()]).tobytes(), "zstd", asbytes=True) for r in some.tolist()]
-    cuts = np.concatenate([edge[some], [len(row)]])
-    packs = np.asarray(t.column("pack"))[some]
+    pack = np.repeat(np.asarray(t.column("pack")), n)
+    order = np.lexsort((pack, h))
+    h, pack = h[order], pack[order]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    shared = ~head | np.concatenate([~head[1:], [False]])[: len(h)]
+    h, pack, head = h[shared], pack[shared], head[shared]
+    order = np.argsort(pack, kind="stable")
+    return h[order], pack[order], head[order]
+
+
+def _by_pack(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]])) if len(pack) else np.zeros(0, np.int64)
+    return pack[edge], np.concatenate([edge, [len(pack)]]).astype(np.int64)
+
+
+def _owners(t: pa.Table) -> pa.Table:
+    """To packs, the chunks that they encode for all."""
+    h, pack, own = _holders(t)
+    packs, cuts = _by_pack(pack[own])
+    return pa.table({"pack": pa.array(packs), "own": blobs(h[own], cuts)})
+
+
+def _encode_own(own: pa.Table, asked: pa.Table, path: str, mean: int, buckets: int) -> pa.Table:
+    """The ids of a pack's chunks that others have too, by bucket."""
+    want = np.sort(unblob(asked.column("own"), U64)[0]) if asked.num_rows else np.zeros(0, U64)
+    hashes, ids = [], []
+    encode = encoding(path).encode_ordinary
+    for row in own.to_pylist() if len(want) else []:
+        buf, size = _unpack(row)
+        start, end, h = _chunks(buf, np.concatenate([[0], np.cumsum(np.maximum(size, 0))]), mean)
+        mine = want[np.minimum(np.searchsorted(want, h), len(want) - 1)] == h
+        hashes.append(h[mine])
+        ids += [np.array(encode(buf[a:z].tobytes().decode()), np.int32) for a, z in zip(start[mine].tolist(), end[mine].tolist())]
+    h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+    order, which, cuts = routed((h % U64(buckets)).astype(np.int64), buckets)
+    ids = [ids[k] for k in order.tolist()]
     release()
-    return pa.table({"pack": pa.array(packs), "hash": blobs(h, cuts).cast(pa.binary()), "n": blobs(lengths[which], cuts), "flat": pa.array(flat, pa.binary())})
+    return pa.table({"bucket": pa.array(which.astype(np.int32)), **_sent(h[order], ids, cuts)})
+
+
+def _sent(h: np.ndarray, ids: list[np.ndarray], cuts: np.ndarray) -> dict[str, pa.Array]:
+    flat = [pa.compress(np.concatenate(ids[a:z]).tobytes(), "zstd", asbytes=True) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return {"hash": blobs(h, cuts), "n": blobs(np.array([len(x) for x in ids], np.int32), cuts), "flat": pa.array(flat, pa.binary())}
+
+
+def _route(t: pa.Table, encoded: pa.Table) -> pa.Table:
+    """To each pack, the ids of its chunks that several packs have."""
+    known = _known(encoded.to_pylist())
+    h, pack, _ = _holders(t)
+    ids = [known.get(x) for x in h.tolist()]
+    there = np.array([x is not None for x in ids], bool)
+    packs, cuts = _by_pack(pack[there])
+    return pa.table({"pack": pa.array(packs), **_sent(h[there], [np.frombuffer(x, np.int32) for x in ids if x is not None], cuts)})
 
 
 def _known(rows: list[dict]) -> dict[int, array]:
-    """Ids by hash, of what ``_encode_shared`` sent."""
+    """Ids by hash, of what ``_sent`` packed."""
     out: dict[int, array] = {}
     for r in rows:
         n = np.frombuffer(r["n"], np.int32)
@@ -357,6 +386,7 @@ def _rows(doc_id: pa.Array, col: pa.Array, encoder: Encoder, path: str) -> pa.Re
 
 
 _RESULT = "doc_id long, ids array<int>, n_tokens long, exact boolean"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("exact", pa.bool_())])
 
 
 def encode(
@@ -377,26 +407,27 @@ def encode(
     path = vocabulary or default_vocabulary()
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packs = stored(rows.mapInArrow(tidy(_packs), "pack long, ids binary, size binary, text binary"), "bpe-packs")
-    sent = packs.mapInArrow(tidy(lambda it: _send(it, mean_chunk, buckets)), "bucket int, pack long, hash binary, size binary, text binary")
-    shared = sent.groupBy("bucket").applyInArrow(lambda t: _encode_shared(t, path), "pack long, hash binary, n binary, flat binary")
-    nothing = F.lit(None).cast("binary")
-    both = packs.select("pack", "ids", "size", "text", *(nothing.alias(c) for c in ("hash", "n", "flat"))).unionByName(shared.select("pack", *(nothing.alias(c) for c in ("ids", "size", "text")), "hash", "n", "flat"))
-
-    def finish(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        own = next(r for r in rows if r["size"] is not None)
-        encoder = Encoder(path, mean=mean_chunk, known=_known([r for r in rows if r["size"] is None]))
-        buf, size = _unpack(own)
-        pair = np.frombuffer(own["ids"], np.int64).reshape(2, -1)
-        off = np.concatenate([[0], np.cumsum(np.maximum(size, 0))]).astype(np.int32)
-        col = pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(buf), pa.array(size >= 0).buffers()[1])
-        ids = pa.array(pair[1], mask=pair[0] == 0)
-        out = [_rows(ids.slice(lo, hi - lo), col.slice(lo, hi - lo), encoder, path) for lo, hi in pieces(off.astype(np.int64), PIECE)]
+    # each of these two is shuffled once and read twice: Spark reuses the exchange
+    packs = rows.mapInArrow(tidy(_packs), "pack long, ids binary, size binary, text binary").groupBy("pack")
+    hashes = rows.mapInArrow(tidy(lambda it: _hashes(it, mean_chunk, buckets)), "bucket int, pack long, hash binary").groupBy("bucket")
+    owners = hashes.applyInArrow(_owners, "pack long, own binary")
+    coded = packs.cogroup(owners.groupBy("pack")).applyInArrow(lambda x, y: _encode_own(x, y, path, mean_chunk, buckets), "bucket int, hash binary, n binary, flat binary")
+    known = hashes.cogroup(coded.groupBy("bucket")).applyInArrow(_route, "pack long, hash binary, n binary, flat binary")
+
+    def finish(own: pa.Table, got: pa.Table) -> pa.Table:
+        encoder = Encoder(path, mean=mean_chunk, known=_known(got.to_pylist()))
+        out = []
+        for row in own.to_pylist():
+            buf, size = _unpack(row)
+            pair = np.frombuffer(row["ids"], np.int64).reshape(2, -1)
+            off = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            col = pa.StringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(buf), pa.array(size >= 0).buffers()[1])
+            ids = pa.array(pair[1], mask=pair[0] == 0)
+            out += [_rows(ids.slice(lo, hi - lo), col.slice(lo, hi - lo), encoder, path) for lo, hi in pieces(off, PIECE)]
         release()
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(out, _SCHEMA)
 
-    return both.groupBy("pack").applyInArrow(finish, _RESULT)
+    return packs.cogroup(known.groupBy("pack")).applyInArrow(finish, _RESULT)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

@@ -239,15 +239,14 @@ def test_chunked_encoding_is_exact():
 
 def test_shared_chunks_are_encoded_once(monkeypatch):
     """Packs with passages in common, step by step: no chunk is encoded twice."""
-    path, passage = bpe.default_vocabulary(), " ".join(words(3000, 1))
-    packs = []
+    path, passage, buckets = bpe.default_vocabulary(), " ".join(words(3000, 1)), 5
+    packs, sent = [], []
     for k in range(3):
-        texts = [" ".join(words(200, 10 + k)) + " " + passage, passage, "", "漢字 " * 300 + passage]
-        data = [t.encode() for t in texts]
+        data = [t.encode() for t in (" ".join(words(200, 10 + k)) + " " + passage, passage, "", "漢字 " * 300 + passage)]
         size = np.array([len(d) for d in data])
         packs.append({"pack": k, "size": size.tobytes(), "text": pa.compress(b"".join(data), "zstd", asbytes=True)})
-    table = pa.RecordBatch.from_pylist(packs)
-    sent = pa.Table.from_batches(list(bpe._send([table], bpe.MEAN_CHUNK, 5)))
+        h = bpe._chunks(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum(size)]), bpe.MEAN_CHUNK)[2]
+        sent += [{"bucket": b, "pack": k, "hash": h[h % U64(buckets) == b].tobytes()} for b in range(buckets)]
     count = Counter()
     real = bpe.encoding(path)
 
@@ -257,19 +256,28 @@ def test_shared_chunks_are_encoded_once(monkeypatch):
             return real.encode_ordinary(text)
 
     monkeypatch.setattr(bpe, "encoding", lambda p: Counting())
-    back = pa.concat_tables([bpe._encode_shared(sent.filter(pa.array(np.asarray(sent.column("bucket")) == b)), path) for b in range(5)])
-    assert count and max(count.values()) == 1
+    of = lambda rows, c, v: pa.Table.from_pylist([r for r in rows if r[c] == v])
+    owners = [r for b in range(buckets) for r in bpe._owners(of(sent, "bucket", b)).to_pylist()]
+    coded = [r for p in packs for r in bpe._encode_own(pa.Table.from_pylist([p]), of(owners, "pack", p["pack"]), path, bpe.MEAN_CHUNK, buckets).to_pylist()]
+    assert len(count) > 50 and max(count.values()) == 1
+    back = [r for b in range(buckets) for r in bpe._route(of(sent, "bucket", b), of(coded, "bucket", b)).to_pylist()]
     shared = set(count)
-    for k, row in enumerate(packs):
-        known = bpe._known(back.filter(pa.array(np.asarray(back.column("pack")) == k)).to_pylist())
-        assert len(known) > 50
-        buf, size = bpe._unpack(row)
-        text = buf.tobytes().decode()
+    for p in packs:
+        known = bpe._known([r for r in back if r["pack"] == p["pack"]])
+        text = bpe._unpack(p)[0].tobytes().decode()
+        assert len(known) == len(shared)
         e = bpe.Encoder(path, known=known)
         assert list(bpe.encode_batch(pa.array([text]), e)[0]) == real.encode_ordinary(text) and e.reused > 50
     assert all(count[t] == 1 for t in shared)
 
 
+def test_exchanges_are_reused(spark, sf_dir):
+    out = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan")[0].count("ReusedExchange") >= 2, plan
+
+
 def test_sure_borders():
     text = "a b  c\u00a0 d\u3000 é я 漢 \t x\n y"
     data = text.encode()

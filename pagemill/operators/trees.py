@@ -34,6 +34,16 @@ def text_of(above: DataFrame, nodes: DataFrame, key: str = "page_id", sep: str =
     )
 
 
+def text_under(page_nodes: DataFrame, tag: str, key: str = "page_id", sep: str = "") -> DataFrame:
+    """``(key, nid, text)`` of each element ``tag``, from pages with their nodes
+    as one array: no shuffle, and pages are parsed once."""
+    texts = F.filter("nodes", lambda n: n["kind"] == "text")
+    own = F.filter("nodes", lambda n: n["tag"] == tag)
+    both = page_nodes.select(key, own.alias("own"), texts.alias("texts")).select(key, F.explode("own").alias("n"), "texts")
+    under = F.filter("texts", lambda t: (t["nid"] > F.col("n.nid")) & (t["nid"] <= F.col("n.last")))
+    return both.select(key, F.col("n.nid").alias("nid"), F.array_join(F.transform(under, lambda t: t["text"]), sep).alias("text"))
+
+
 def first_match(nodes: DataFrame, test: Column, key: str = "page_id") -> DataFrame:
     """The first element of each page, in document order, that passes."""
     return elements(nodes).where(test).groupBy(key).agg(F.min_by(F.struct(*[c for c in nodes.columns if c != key]), "nid").alias("n")).select(key, "n.*")
@@ -69,6 +79,54 @@ def meta_map(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     return m.where("name <> '' and content <> ''").groupBy(key, "name").agg(F.min_by("content", "nid").alias("content"))
 
 
+def holding(above: DataFrame, below: DataFrame, key: str = "page_id") -> DataFrame:
+    """Those of ``above`` that have one of ``below`` under them: a semi range-join."""
+    b = below.select(F.col(key).alias("_k"), F.col("nid").alias("_n"))
+    return above.join(b, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("nid")) & (F.col("_n") <= F.col("last")), "left_semi")
+
+
+def first_by_rank(nodes: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
+    """Of each page, the first element that passes the earliest test any passes."""
+    rank = F.coalesce(*(F.when(t, F.lit(k)) for k, t in enumerate(tests)))
+    w = Window.partitionBy(key).orderBy("_rank", "nid")
+    return elements(nodes).withColumn("_rank", rank).where("_rank is not null").withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_rank", "_at")
+
+
+def repeated_links(nodes: DataFrame, least: int = 3, key: str = "page_id") -> DataFrame:
+    """``(key, text, n)``: link texts of over 3 bytes seen ``least`` times."""
+    found = text_of(elements(nodes).where("tag = 'a'"), nodes, key).select(key, F.lower(F.trim("text")).alias("text"))
+    return found.where(F.octet_length("text") > 3).groupBy(key, "text").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def link_variance(nodes: DataFrame, block: Column, key: str = "page_id") -> DataFrame:
+    """``(key, variance)``: population variance of the links under each block."""
+    blocks = elements(nodes).where(block).select(key, "nid", "last")
+    links = elements(nodes).where("tag = 'a'").select(F.col(key).alias("_k"), F.col("nid").alias("_n"))
+    held = blocks.join(links, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("nid")) & (F.col("_n") <= F.col("last")), "left")
+    return held.groupBy(key, "nid").agg(F.count("_n").alias("n")).groupBy(key).agg(F.var_pop("n").alias("variance"))
+
+
+def class_hits(nodes: DataFrame, parts: tuple[str, ...], key: str = "page_id") -> DataFrame:
+    """``(key, nid, part)``: elements with a class that contains a part, once
+    for each part."""
+    classed = elements(nodes).where(F.col("attrs")["class"].isNotNull())
+    return classed.select(key, "nid", F.explode(F.filter(F.array(*map(F.lit, parts)), lambda p: F.contains(F.col("attrs")["class"], p))).alias("part"))
+
+
+def last_before(nodes: DataFrame, test: Column, value: Column, name: str, key: str = "page_id") -> DataFrame:
+    """Elements with ``name``: the ``value`` of the last one before that passes."""
+    w = Window.partitionBy(key).orderBy("nid").rowsBetween(Window.unboundedPreceding, -1)
+    return elements(nodes).withColumn(name, F.last(F.when(test, value), ignorenulls=True).over(w))
+
+
+def levels(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """``(key, nid, level)``, by a recursive query from the roots down."""
+    return nodes.sparkSession.sql(
+        f"WITH RECURSIVE down(page, nid, level) AS (SELECT {key}, nid, 0 FROM {{nodes}} WHERE pid = -1 UNION ALL SELECT n.{key}, n.nid, d.level + 1 FROM {{nodes}} n JOIN down d ON n.{key} = d.page AND n.pid = d.nid) SELECT page AS {key}, nid, level FROM down",
+        nodes=nodes.select(key, "nid", "pid"),
+    )
+
+
 def page_nodes_of(spark, sf_dir: str) -> DataFrame:
     """The node table of the pages of ``sf_dir``."""
     from ..sources.pages import pages, spread

@@ -14,20 +14,8 @@ from ..operators import pages as P
 from ..operators import trees
 from ..operators.tfidf import tfidf
 from ..sources.pages import diagnostics, pages, spread
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from . import cases, relations  # noqa: F401  they register queries too
+from .registry import COUNT, HOST, ORACLE_SQL, QUERIES, query
 
 # --------------------------------------------------------------- pieces of SQL
 
@@ -65,8 +53,7 @@ def _collapse(x: str) -> str:
 _H1 = _collapse(_decode("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))
 _ARTICLE = _collapse(_decode("regexp_replace(regexp_extract(html, '<article>(.*?)(</article>|<footer>)', 1, 's'), '<[^>]*>', '', 'g')"))
 _NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
-_COUNT = "CAST((length(html) - length(replace(html, '{0}', ''))) / {1} AS BIGINT)"
-_HOST = r"nullif(regexp_extract(url, '^https?://(?:www\.|w[0-9]+\.)?([^/]+)', 1), '')"
+_COUNT, _HOST = COUNT, HOST
 
 
 # ------------------------------------------------------------- guards and URLs
@@ -259,14 +246,16 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {_H1} AS h1 FROM pages")
 def heading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text under each h1, by range join."""
-    nodes = trees.page_nodes_of(spark, sf_dir)
-    return trees.text_of(nodes.where("tag = 'h1'"), nodes).select("page_id", T.collapse(F.col("text")).alias("h1"))
+    """The text under each h1, from pages parsed once."""
+    nodes = P.page_nodes(spread(pages(spark, sf_dir).select("page_id", "html"))).drop("html")
+    return trees.text_under(nodes, "h1").select("page_id", T.collapse(F.col("text")).alias("h1"))
 
 
-@query("SELECT page_id, 'utf-8' AS charset FROM pages")
-def first_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.first_match(trees.page_nodes_of(spark, sf_dir), F.col("tag") == "meta").select("page_id", F.col("attrs")["charset"].alias("charset"))
+@query(f"SELECT page_id, {_H1} AS h1 FROM pages")
+def heading_text_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a range join over the node table."""
+    nodes = trees.page_nodes_of(spark, sf_dir)
+    return trees.text_of(nodes.where("tag = 'h1'"), nodes).select("page_id", T.collapse(F.col("text")).alias("h1"))
 
 
 @query(f"SELECT page_id, {_COUNT.format('<p>', 3)} AS p FROM pages")
@@ -282,13 +271,6 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.node_table(spread(pages(spark, sf_dir))).withColumn("attrs", F.to_json("attrs"))
 
 
-@query("SELECT page_id, CAST(1 AS BIGINT) AS last_items FROM pages")
-def last_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List items that no element follows: one for each list."""
-    items = trees.last_sibling(trees.page_nodes_of(spark, sf_dir)).where("tag = 'li' and is_last")
-    return items.groupBy("page_id").agg(F.count("*").alias("last_items"))
-
-
 # ------------------------------------------------------------ kernels over pages
 
 
@@ -298,20 +280,10 @@ _LINKS = f"len(regexp_extract_all({_NAV}, '<a href'))"
 _REFINED = f"CASE WHEN ({_TYPE}) = 'article' AND {_P_WORDS} < 30 AND {_LINKS} >= 3 * greatest(1, {_P_WORDS}) THEN 'listing' ELSE {_TYPE} END"
 
 
-@query(f"SELECT page_id, '' AS og_type, FALSE AS pagination, CAST(0 AS BIGINT) AS code_blocks, CAST(0 AS BIGINT) AS product_elements, {_REFINED} AS refined_type FROM {_PARTS}")
+@query(f"SELECT page_id, CAST({_P_WORDS} AS BIGINT) AS words, round(CASE WHEN {_P_WORDS} > 0 THEN {_LINKS} / {_P_WORDS} ELSE {_LINKS} END, 9) AS link_ratio, {_REFINED} AS refined_type FROM {_PARTS}")
 def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.page_signals(spread(pages(spark, sf_dir)))
-    return s.select("page_id", *(F.col(f"signals.{k}").alias(k) for k in ("og_type", "pagination", "code_blocks", "product_elements")), "refined_type")
-
-
-@query(
-    f"SELECT page_id, CAST(1 AS DOUBLE) AS f16, CAST(1 AS DOUBLE) AS f18, CAST(len(regexp_extract_all({_NAV}, '<a href')) AS DOUBLE) AS links, CAST(1 AS DOUBLE) AS f52, CAST(1 AS DOUBLE) AS f54, "
-    f"CAST(len(list_distinct(regexp_extract_all({_NAV}, 'href=\"([^\"]*)\"', 1))) AS DOUBLE) AS f59, CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS DOUBLE) AS f72 FROM {_PARTS}"
-)
-def countable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = P.page_features(spread(pages(spark, sf_dir))).select("page_id", F.col("features").alias("f"))
-    f = lambda k: F.get("f", F.lit(k))
-    return x.select("page_id", f(16).alias("f16"), f(18).alias("f18"), F.round(f(40) * f(41)).alias("links"), f(52).alias("f52"), f(54).alias("f54"), f(59).alias("f59"), f(72).alias("f72"))
+    return s.select("page_id", F.col("signals.paragraph_words").alias("words"), F.round("signals.link_ratio", 9).alias("link_ratio"), "refined_type")
 
 
 @query()
@@ -325,11 +297,6 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_features(spread(pages(spark, sf_dir)), scaled=True).select("page_id", "features", "error")
 
 
-@query(f"SELECT {_REFINED} AS page_type, count(*) AS n FROM {_PARTS} GROUP BY ALL")
-def page_type_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_signals(spread(pages(spark, sf_dir))).groupBy(F.col("refined_type").alias("page_type")).agg(F.count("*").alias("n"))
-
-
 _TITLE = _collapse(_decode("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))
 _SIDES = "^(.+)?\\s+[–•·—|⁄*⋆~‹«<›»>:-]\\s+(.+)$"
 
@@ -358,17 +325,12 @@ def extract_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("text_length >= 200 and not fallback_used").select("page_id", "text_length")
 
 
-@query(f"SELECT count(*) AS n FROM pages WHERE length({_ARTICLE}) < 200")
-def extract_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose article is short fall back to the body, or are too short."""
-    e = P.extract_pages(spread(pages(spark, sf_dir)))
-    return e.where("fallback_used or text_length < 200").agg(F.count("*").alias("n"))
-
-
-@query("SELECT count(*) FILTER (WHERE html IS NULL) AS errors, count(*) AS n FROM pages")
+@query(f"SELECT page_id, md5({_ARTICLE}) AS text FROM pages WHERE length({_ARTICLE}) >= 200")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = P.clean_pages(spread(pages(spark, sf_dir))).where("error is not null or length(_html) > 0")
-    return c.agg(F.count("error").alias("errors"), F.count("*").alias("n"))
+    """The text of cleaned pages is that of their article; none has an error."""
+    c = P.clean_pages(spread(pages(spark, sf_dir)))
+    text = T.collapse(T.unescape_named(T.strip_tags(F.col("_html"))))
+    return c.where(F.col("error").isNotNull() | (F.length(text) >= 200) & ~F.exists("messages", lambda m: m["text"].contains("fallback"))).select("page_id", F.coalesce("error", F.md5(text)).alias("text"))
 
 
 @query()
@@ -382,13 +344,6 @@ def clean_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics(P.clean_pages(spread(pages(spark, sf_dir))))
 
 
-@query("SELECT page_id FROM pages WHERE FALSE")
-def security_floor_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned pages that hold a script, a handler or a bad link: none."""
-    c = P.clean_pages(spread(pages(spark, sf_dir)), boilerplate="keep")
-    return c.where(F.col("_html").rlike(r"(?i)<(script|iframe|object|embed|applet|base)[\s>]|<[^>]*\son\w+\s*=|javascript:")).select("page_id")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's type, text length and title."""
     p = spread(pages(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..html import constants as C
@@ -18,47 +18,81 @@ def ends_with_any(c: Column, endings) -> Column:
     return reduce(lambda a, b: a | b, [c.endswith(n) for n in endings])
 
 
+def _domain(u: Column) -> Column:
+    return F.regexp_extract(u, r"^(?:https?://)?([^/]*)", 1)
+
+
+def _path(u: Column) -> Column:
+    rest = F.regexp_extract(u, r"(?s)^(?:https?://)?[^/]*(/.*)$", 1)
+    return F.coalesce(F.nullif(rest, F.lit("")), F.lit("/"))
+
+
 def domain(url: Column) -> Column:
     """What stands before the first slash, in lower case; '' for no URL."""
-    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^(?:https?://)?([^/]*)", 1)
+    return _domain(F.lower(F.coalesce(url, F.lit(""))))
 
 
 def path(url: Column) -> Column:
     """The rest from the first slash, query and fragment kept; '/' if none."""
-    rest = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"(?s)^(?:https?://)?[^/]*(/.*)$", 1)
-    return F.when(rest == "", F.lit("/")).otherwise(rest)
+    return _path(F.lower(F.coalesce(url, F.lit(""))))
+
+
+def with_parts(url: Column, of) -> Column:
+    """``of(u, d, p)`` of the lower-case URL, its domain and its path, each
+    computed once a row however often ``of`` uses it: they are the variables
+    of a lambda, where columns would be expanded at every use."""
+    low = F.array(F.lower(F.coalesce(url, F.lit(""))))
+    cut = F.transform(low, lambda u: F.struct(u.alias("u"), _domain(u).alias("d"), _path(u).alias("p")))
+    return F.transform(cut, lambda x: of(x["u"], x["d"], x["p"]))[0]
 
 
 def page_type(url: Column) -> Column:
     """The page type that the URL alone suggests; article where none fits."""
-    u, d, p = F.lower(F.coalesce(url, F.lit(""))), domain(url), path(url)
-    return (
-        F.when(u == "", "article")
+    return with_parts(
+        url,
+        lambda u, d, p: F.when(u == "", "article")
         .when(contains_any(d, C.FORUM_DOMAINS) | contains_any(p, C.FORUM_PATHS) | contains_any(u, C.FORUM_URL_PATTERNS), "forum")
         .when(contains_any(d, C.DOCS_DOMAINS) | contains_any(p, C.DOCS_PATHS), "documentation")
         .when(contains_any(p, C.PRODUCT_PATHS) | contains_any(d, C.PRODUCT_DOMAINS), "product")
         .when(contains_any(p, C.CATEGORY_PATHS), "collection")
         .when(contains_any(p, C.SERVICE_PATHS) | contains_any(u, C.SERVICE_SLUG_PATTERNS), "service")
         .when(ends_with_any(F.rtrim(p, F.lit("/")), C.LISTING_PATH_ENDINGS) | contains_any(p, C.LISTING_PATH_CONTAINS), "listing")
-        .otherwise("article")
+        .otherwise("article"),
     )
 
 
-def features(url: Column) -> list[Column]:
-    """Features f00 to f13 and f72, as doubles."""
-    u, d, p = F.lower(F.coalesce(url, F.lit(""))), domain(url), path(url)
-    trimmed = F.rtrim(p, F.lit("/"))
-    tests = [
-        contains_any(d, C.FORUM_DOMAINS), contains_any(p, C.FORUM_PATHS), contains_any(u, C.FORUM_URL_PATTERNS), contains_any(d, C.DOCS_DOMAINS), contains_any(p, C.DOCS_PATHS),
-        contains_any(p, C.PRODUCT_PATHS), contains_any(p, C.CATEGORY_PATHS), contains_any(p, C.SERVICE_PATHS), contains_any(u, C.SERVICE_SLUG_PATTERNS),
-        contains_any(p, C.ARTICLE_PATHS), contains_any(u, C.BLOG_SLUG_PATTERNS), ends_with_any(p, C.LISTING_PATH_ENDINGS) | ends_with_any(trimmed, C.LISTING_PATH_ENDINGS),
-        contains_any(p, C.LISTING_PATH_CONTAINS), contains_any(d, C.PRODUCT_DOMAINS),
-    ]
-    return [*(t.cast("double").alias(f"f{i:02d}") for i, t in enumerate(tests)), path_segments(url).cast("double").alias("f72")]
+FEATURES = [*range(14), 72]
+
+
+def feature_array(url: Column) -> Column:
+    """Features f00 to f13 and f72 (``FEATURES``), as an array of doubles."""
+
+    def of(u, d, p):
+        trimmed = F.rtrim(p, F.lit("/"))
+        tests = [
+            contains_any(d, C.FORUM_DOMAINS), contains_any(p, C.FORUM_PATHS), contains_any(u, C.FORUM_URL_PATTERNS), contains_any(d, C.DOCS_DOMAINS), contains_any(p, C.DOCS_PATHS),
+            contains_any(p, C.PRODUCT_PATHS), contains_any(p, C.CATEGORY_PATHS), contains_any(p, C.SERVICE_PATHS), contains_any(u, C.SERVICE_SLUG_PATTERNS),
+            contains_any(p, C.ARTICLE_PATHS), contains_any(u, C.BLOG_SLUG_PATTERNS), ends_with_any(p, C.LISTING_PATH_ENDINGS) | ends_with_any(trimmed, C.LISTING_PATH_ENDINGS),
+            contains_any(p, C.LISTING_PATH_CONTAINS), contains_any(d, C.PRODUCT_DOMAINS),
+        ]
+        return F.array(*(t.cast("double") for t in tests), _segments(p).cast("double"))
+
+    return with_parts(url, of)
+
+
+def features(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """``df`` with columns f00 to f13 and f72."""
+    name = "_url_features"
+    kept = df.columns
+    return df.withColumn(name, feature_array(F.col(url_col))).select(*(f"`{c}`" for c in kept), *(F.col(name)[k].alias(f"f{f:02d}") for k, f in enumerate(FEATURES)))
+
+
+def _segments(p: Column) -> Column:
+    return F.size(F.filter(F.split(p, "/", -1), lambda x: x != "")).cast("long")
 
 
 def path_segments(url: Column) -> Column:
-    return F.size(F.filter(F.split(path(url), "/", -1), lambda x: x != "")).cast("long")
+    return _segments(path(url))
 
 
 def hostname(url: Column) -> Column:

@@ -7,7 +7,7 @@ results, unless ``mode="FAILFAST"``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,10 +55,11 @@ def check_options(boilerplate: str, page_type: str | None, **toggles) -> None:
             raise TypeError(f"{name} must be a boolean")
 
 
-def _run(df: DataFrame, ddl: str, types: list[pa.DataType], one, html_col: str, url_col: str | None) -> DataFrame:
+def _run(df: DataFrame, ddl: str, types: list[pa.DataType], one, html_col: str, url_col: str | None, only: Sequence[str] | None = None) -> DataFrame:
     """Appends the columns of ``ddl``; ``one(html, url)`` gives a row's values.
 
-    An error of ``one`` becomes the row's ``error``.
+    An error of ``one`` becomes the row's ``error``.  ``only`` names the columns
+    that come back from Python, of the old and the new ones; ``error`` always does.
     """
     extra = StructType.fromDDL(ddl)
     taken = {c.lower() for c in df.columns} - {"error"}
@@ -68,8 +69,10 @@ def _run(df: DataFrame, ddl: str, types: list[pa.DataType], one, html_col: str,
             f.name = "_" + f.name
         taken.add(f.name.lower())
         names.append(f.name)
-    schema = StructType([*(f for f in df.schema.fields if f.name != "error"), *extra.fields, df.schema["error"]])
-    kept = [f.name for f in df.schema.fields if f.name != "error"]
+    wanted = lambda name: only is None or name in only
+    kept = [f.name for f in df.schema.fields if f.name != "error" and wanted(f.name)]
+    chosen = [k for k, name in enumerate(names) if wanted(name)]
+    schema = StructType([*(df.schema[c] for c in kept), *(extra.fields[k] for k in chosen), df.schema["error"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,8 +89,8 @@ def _run(df: DataFrame, ddl: str, types: list[pa.DataType], one, html_col: str,
                         except Exception as e:  # a page must not end the job
                             errors[i] = f"{type(e).__name__}: {e}"
                     rows.append(row)
-                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols, pa.array(errors, pa.string())], names=[*kept, *names, "error"])
+                cols = [pa.array([r[k] for r in rows], types[k]) for k in chosen]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols, pa.array(errors, pa.string())], names=[*kept, *(names[k] for k in chosen), "error"])
 
     return df.mapInArrow(run, schema)
 
@@ -160,6 +163,18 @@ def clean_pages(
     return _run(rows, CLEAN_DDL, [pa.string(), _MESSAGES, _META, pa.string(), pa.float64()], one, html_col, url_col)
 
 
+def clean_bytes(df: DataFrame, content_col: str = "content", **options) -> DataFrame:
+    """``clean_pages`` of bytes of unknown encoding: the messages of decoding
+    come before those of cleaning.  Undecodable bytes give null html, a message
+    and an ``error``; other columns stay, the bytes go."""
+    from ..sources.pages import decoded
+
+    rows = decoded(df, content_col).withColumnRenamed("messages", "_decoding")
+    out = clean_pages(rows, **options)
+    name = next(c for c in reversed(out.columns) if c.strip("_") == "messages")
+    return out.withColumn(name, F.concat("_decoding", F.coalesce(name, F.expr("array()")))).drop("_decoding")
+
+
 def extract_pages(
     df: DataFrame,
     html_col: str = "html",
@@ -173,9 +188,11 @@ def extract_pages(
     forest_path: str | None = None,
     max_input_bytes: int = MAX_INPUT,
     mode: str = "PERMISSIVE",
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """``df`` with ``(content_html, page_type, confidence, text_length,
-    fallback_used, warnings, error)``: the main content, not sanitised."""
+    fallback_used, warnings, error)``: the main content, not sanitised.
+    ``only`` names those columns, old and new, that are wanted."""
     check_options(focus, page_type)
     forest = _forest(df, forest_path)
 
@@ -187,16 +204,32 @@ def extract_pages(
         return [e.content_html, e.page_type, e.confidence, e.text_length, e.fallback_used, e.warnings]
 
     rows = admitted(df, html_col, max_input_bytes, mode)
-    return _run(rows, EXTRACT_DDL, [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), _LIST], one, html_col, url_col)
+    return _run(rows, EXTRACT_DDL, [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), _LIST], one, html_col, url_col, only)
+
+
+def page_summary(df: DataFrame, html_col: str = "html", url_col: str | None = "url", max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE", only: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with ``(page_type, text_length, metadata, error)``: extraction and
+    metadata from one parse of each page."""
 
+    def one(html: str, url: str | None) -> list:
+        doc = parse(html)
+        meta = M.metadata(doc, url)
+        kind, confidence = K.classify(doc, url)
+        e = X.rescue(html, X.extract_tree(doc, X.Options(page_type=kind), confidence))
+        return [e.page_type, e.text_length, meta]
+
+    return _run(admitted(df, html_col, max_input_bytes, mode), f"page_type string, text_length long, metadata {METADATA_DDL}", [pa.string(), pa.int64(), _META], one, html_col, url_col, only)
 
-def page_metadata(df: DataFrame, html_col: str = "html", url_col: str | None = "url", author_blacklist: set[str] | None = None, max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE") -> DataFrame:
-    """``df`` with ``(metadata, error)``."""
+
+def page_metadata(
+    df: DataFrame, html_col: str = "html", url_col: str | None = "url", author_blacklist: set[str] | None = None, max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE", only: Sequence[str] | None = None
+) -> DataFrame:
+    """``df`` with ``(metadata, error)``, or those columns that ``only`` names."""
 
     def one(html: str, url: str | None) -> list:
         return [M.metadata(parse(html), url, author_blacklist)]
 
-    return _run(admitted(df, html_col, max_input_bytes, mode), f"metadata {METADATA_DDL}", [_META], one, html_col, url_col)
+    return _run(admitted(df, html_col, max_input_bytes, mode), f"metadata {METADATA_DDL}", [_META], one, html_col, url_col, only)
 
 
 SIGNALS_DDL = "signals struct<og_type:string,ld_types:array<string>,aggregate_offer:boolean,add_to_cart:boolean,product_grid:boolean,product_elements:long,pagination:boolean,code_blocks:long,docs_nav:boolean,link_ratio:double,paragraph_words:long>, refined_type string"
@@ -205,17 +238,17 @@ _SIGNALS = pa.struct(
 )
 
 
-def page_signals(df: DataFrame, html_col: str = "html", url_col: str | None = "url", max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE") -> DataFrame:
+def page_signals(df: DataFrame, html_col: str = "html", url_col: str | None = "url", max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE", only: Sequence[str] | None = None) -> DataFrame:
     """``df`` with ``(signals, refined_type, error)``."""
 
     def one(html: str, url: str | None) -> list:
         s = K.signals(K.Facts(parse(html)))
         return [s, K.refine(K.type_by_url(url), s)]
 
-    return _run(admitted(df, html_col, max_input_bytes, mode), SIGNALS_DDL, [_SIGNALS, pa.string()], one, html_col, url_col)
+    return _run(admitted(df, html_col, max_input_bytes, mode), SIGNALS_DDL, [_SIGNALS, pa.string()], one, html_col, url_col, only)
 
 
-def page_features(df: DataFrame, html_col: str = "html", url_col: str | None = "url", scaled: bool = False, max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE") -> DataFrame:
+def page_features(df: DataFrame, html_col: str = "html", url_col: str | None = "url", scaled: bool = False, max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE", only: Sequence[str] | None = None) -> DataFrame:
     """``df`` with ``(features, error)``: the 89 numbers, or with ``scaled`` the
     189 that a forest reads."""
 
@@ -223,7 +256,7 @@ def page_features(df: DataFrame, html_col: str = "html", url_col: str | None = "
         facts = K.Facts(parse(html))
         return [(K.feature_vector if scaled else K.features)(facts, url).tolist()]
 
-    return _run(admitted(df, html_col, max_input_bytes, mode), "features array<double>", [pa.list_(pa.float64())], one, html_col, url_col)
+    return _run(admitted(df, html_col, max_input_bytes, mode), "features array<double>", [pa.list_(pa.float64())], one, html_col, url_col, only)
 
 
 NODES_DDL = "nodes array<struct<nid:int,pid:int,last:int,depth:int,sib:int,is_last_elem:boolean,kind:string,tag:string,attrs:map<string,string>,text:string>>"
@@ -251,14 +284,14 @@ def node_rows(html: str) -> list[dict]:
     return out
 
 
-def page_nodes(df: DataFrame, html_col: str = "html", max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE") -> DataFrame:
+def page_nodes(df: DataFrame, html_col: str = "html", max_input_bytes: int = MAX_INPUT, mode: str = "PERMISSIVE", only: Sequence[str] | None = None) -> DataFrame:
     """``df`` with ``(nodes, error)``: each page's tree as one array."""
-    return _run(admitted(df, html_col, max_input_bytes, mode), NODES_DDL, [_NODES], lambda html, _: [node_rows(html)], html_col, None)
+    return _run(admitted(df, html_col, max_input_bytes, mode), NODES_DDL, [_NODES], lambda html, _: [node_rows(html)], html_col, None, only)
 
 
 def node_table(df: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row a node: ``(key, nid, pid, last, ...)``."""
-    return page_nodes(df.select(key, html_col), html_col).select(key, F.explode("nodes").alias("n")).select(key, "n.*")
+    return page_nodes(df.select(key, html_col), html_col, only=(key, "nodes")).select(key, F.explode("nodes").alias("n")).select(key, "n.*")
 
 
 def result_json(df: DataFrame) -> Column:

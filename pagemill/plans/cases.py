@@ -598,6 +598,17 @@ def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "mark", F.md5(F.col("html")).alias("html"), F.size("messages").cast("long").alias("messages"))
 
 
+@query("SELECT page_id, '<p>' || page_id || '</p>' AS html, CAST(1 + (page_id + 1) % 2 AS BIGINT) AS messages, page_id % 2 = 0 AS guessed FROM pages")
+def cleaned_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in, clean pages out: what decoding says comes before what
+    cleaning says."""
+    text = F.concat(F.lit("<p>"), "page_id", F.when(F.col("page_id") % 2 == 0, F.lit("</p><i>é</i>")).otherwise(F.lit("</p>")))
+    mark = F.when(F.col("page_id") % 4 == 1, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    out = P.clean_bytes(pages(spark, sf_dir).select("page_id", F.concat(mark, F.encode(text, "ISO-8859-1")).alias("content")), url_col=None)
+    html = F.regexp_replace("html", "<i>.*", "")
+    return out.select("page_id", html.alias("html"), F.size("messages").cast("long").alias("messages"), F.exists("messages", lambda m: m["text"].contains("decoded as")).alias("guessed"))
+
+
 @query("SELECT page_id, md5(url || '<p>' || page_id || '</p>') AS html, page_id % 3 = 0 AS warned FROM pages")
 def result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean results as JSON text and back, with their messages."""

@@ -121,7 +121,7 @@ def _feature_sql() -> str:
 
 @query(_feature_sql())
 def url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", *U.features(F.col("url")))
+    return U.features(pages(spark, sf_dir).select("page_id", "url")).drop("url")
 
 
 @query(f"SELECT CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS BIGINT) AS segments, count(*) AS n FROM {_PARTS} GROUP BY ALL")
@@ -247,7 +247,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, {_H1} AS h1 FROM pages")
 def heading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text under each h1, from pages parsed once."""
-    nodes = P.page_nodes(spread(pages(spark, sf_dir).select("page_id", "html"))).drop("html")
+    nodes = P.page_nodes(spread(pages(spark, sf_dir).select("page_id", "html")), only=("page_id", "nodes"))
     return trees.text_under(nodes, "h1").select("page_id", T.collapse(F.col("text")).alias("h1"))
 
 
@@ -282,19 +282,19 @@ _REFINED = f"CASE WHEN ({_TYPE}) = 'article' AND {_P_WORDS} < 30 AND {_LINKS} >=
 
 @query(f"SELECT page_id, CAST({_P_WORDS} AS BIGINT) AS words, round(CASE WHEN {_P_WORDS} > 0 THEN {_LINKS} / {_P_WORDS} ELSE {_LINKS} END, 9) AS link_ratio, {_REFINED} AS refined_type FROM {_PARTS}")
 def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = P.page_signals(spread(pages(spark, sf_dir)))
+    s = P.page_signals(spread(pages(spark, sf_dir)), only=("page_id", "signals", "refined_type"))
     return s.select("page_id", F.col("signals.paragraph_words").alias("words"), F.round("signals.link_ratio", 9).alias("link_ratio"), "refined_type")
 
 
 @query()
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = P.page_features(spread(pages(spark, sf_dir)))
+    x = P.page_features(spread(pages(spark, sf_dir)), only=("page_id", "features"))
     return x.select("page_id", F.posexplode("features").alias("feature", "value"))
 
 
 @query()
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page_features(spread(pages(spark, sf_dir)), scaled=True).select("page_id", "features", "error")
+    return P.page_features(spread(pages(spark, sf_dir)), scaled=True, only=("page_id", "features")).select("page_id", "features", "error")
 
 
 _TITLE = _collapse(_decode("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))
@@ -306,7 +306,7 @@ _SIDES = "^(.+)?\\s+[–•·—|⁄*⋆~‹«<›»>:-]\\s+(.+)$"
     f"WHEN contains(regexp_extract({_TITLE}, '{_SIDES}', 2), '.') THEN ltrim(regexp_extract({_TITLE}, '{_SIDES}', 2), '@') ELSE {_HOST} END AS sitename FROM pages"
 )
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = P.page_metadata(spread(pages(spark, sf_dir)).select("page_id", "url", "html"))
+    m = P.page_metadata(spread(pages(spark, sf_dir)), only=("page_id", "metadata"))
     return m.select("page_id", "metadata.title", "metadata.url", "metadata.hostname", "metadata.sitename")
 
 
@@ -321,7 +321,7 @@ def page_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM (SELECT page_id, CAST(length({_ARTICLE}) AS BIGINT) AS text_length FROM pages) WHERE text_length >= 200")
 def extract_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = P.extract_pages(spread(pages(spark, sf_dir)))
+    e = P.extract_pages(spread(pages(spark, sf_dir)), only=("page_id", "text_length", "fallback_used"))
     return e.where("text_length >= 200 and not fallback_used").select("page_id", "text_length")
 
 
@@ -346,9 +346,8 @@ def clean_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's type, text length and title."""
-    p = spread(pages(spark, sf_dir))
-    e = P.extract_pages(p).select("page_id", "url", "html", "page_type", "text_length")
-    return P.page_metadata(e).select("page_id", "page_type", "text_length", "metadata.title")
+    out = P.page_summary(spread(pages(spark, sf_dir)), only=("page_id", "page_type", "text_length", "metadata"))
+    return out.select("page_id", "page_type", "text_length", "metadata.title")
 
 
 @query(f"SELECT page_id, {_REFINED} AS page_type, {_H1} AS title FROM {_PARTS}")

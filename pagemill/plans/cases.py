@@ -754,3 +754,159 @@ def attacked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _generated(spark, sf_dir, [('<p onmouseover="x()">s</p>', "k % 4"), ('<a href=" javascript:y()">x</a>', "k % 3"), ("<p>kept</p>", "1")])
     out = P._run(P.admitted(rows, "html", P.MAX_INPUT, "PERMISSIVE"), "floor_broken long, after long, markup string", [pa.int64(), pa.int64(), pa.string()], lambda html, _: [len(S.violations(html)), len(S.violations(c := S.clean_html(html))), c], "html", "url")
     return out.select("page_id", "floor_broken", "after", "markup")
+
+
+# ------------------------------------------------------- files, local use, SQL
+
+
+def _loaded(raw: str, how: str) -> list:
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "config.json")
+        if how != "missing":
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(raw)
+        try:
+            return [",".join(sorted(P.load_config(path))), None]
+        except ValueError as e:
+            return [None, str(e).split(":")[0]]
+
+
+written(
+    "config_files",
+    {"fields": "string", "reason": "string"},
+    [
+        ('{"allowedTags": ["p"], "transformTags": {"b": "i"}}', "", "allowedTags,transformTags", None), ("{}", "", "", None), ("{broken", "", None, "config is not valid JSON"), ("", "missing", None, "cannot read config"),
+        ('{"allowedTags": 1}', "", None, "invalid config"), ("[]", "", None, "invalid config"),
+    ],
+    _loaded,
+)
+
+
+def _local(html: str, raw: str) -> list:
+    import asyncio
+
+    from ..local import aclean, clean
+
+    o = json.loads(raw)
+    how = o.pop("how", "clean")
+    try:
+        r = asyncio.run(aclean(html, **o)) if how == "aclean" else clean(html if how != "none" else None, **o)
+    except (TypeError, ValueError) as e:
+        return [None, None, None, type(e).__name__]
+    return [r["html"], r.get("pageType"), len(r["messages"]), None]
+
+
+_PAGE = f"<nav>menu</nav><article><p>{_W}</p><a href='/l'>link text</a></article>"
+written(
+    "local_cleaning",
+    {"markup": "string", "page_type": "string", "messages": "long", "reason": "string"},
+    [
+        (_PAGE, "{}", f'<p>{_W}</p><a href="/l">link text</a>', "article", 0, None), (_PAGE, '{"how": "aclean", "include_links": false}', f"<p>{_W}</p>link text", "article", 0, None), ("<p>a</p><nav>n</nav>", '{"boilerplate": "keep"}', "<p>a</p>", None, 0, None),
+        ("<p>a</p>", "{}", "<p>a</p>", "article", 1, None), ("<p>a</p>", '{"how": "none"}', None, None, None, "TypeError"), ("<p>a</p>", '{"max_input_bytes": 3}', None, None, None, "ValueError"), ("<p>a</p>", '{"boilerplate": "some"}', None, None, None, "ValueError"),
+        ("<p>a</p>", '{"include_images": "no"}', None, None, None, "TypeError"), (_PAGE, '{"url": "https://forum.x.org/"}', f'<p>{_W}</p><a href="/l">link text</a>', "forum", 0, None), (_PAGE, '{"page_type": "service"}', f'<p>{_W}</p><a href="/l">link text</a>', "service", 0, None),
+        ("<nav>only</nav>", "{}", "", "article", 1, None), ("", "{}", "", "article", 1, None),
+    ],
+    _local,
+)
+
+
+def _command(html: str, raw: str) -> list:
+    import contextlib
+    import io
+    import os
+    import tempfile
+
+    from ..local import main
+
+    with tempfile.TemporaryDirectory() as folder:
+        source, target = os.path.join(folder, "in.html"), os.path.join(folder, "out")
+        with open(source, "w", encoding="utf-8") as f:
+            f.write(html)
+        said = io.StringIO()
+        with contextlib.redirect_stderr(said):
+            code = main([source if "MISSING" not in raw else source + "x", "-o", target, *(x for x in raw.split() if x != "MISSING")])
+        out = ""
+        if os.path.exists(target):
+            with open(target, encoding="utf-8") as f:
+                out = f.read()
+        if "--json" in raw and out:
+            out = json.loads(out)["html"]
+        return [code, out, len(said.getvalue().splitlines())]
+
+
+written(
+    "command_line",
+    {"code": "long", "markup": "string", "lines_said": "long"},
+    [
+        ("<p>a</p>", "", 0, "<p>a</p>", 2), ("<p>a</p>", "-q", 0, "<p>a</p>", 0), ("<p>a</p>", "--json", 0, "<p>a</p>", 0), ("<p>a</p>", "MISSING", 1, "", 1), ("<p>a <a href='/x'>l</a></p>", "-q --no-links --boilerplate keep", 0, "<p>a l</p>", 0),
+        ("<p>a</p>  <p>b</p>", "-q --minify --boilerplate keep", 0, "<p>a</p> <p>b</p>", 0),
+    ],
+    _command,
+)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/pagemill-{uuid.uuid4().hex}"
+
+
+@query("SELECT page_id, md5(html) AS html FROM pages WHERE page_id % 16 = 0")
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON lines and read again."""
+    from ..sources.pages import write_json
+
+    folder = _folder(spark)
+    rows = pages(spark, sf_dir).where("page_id % 16 = 0")
+    none = F.lit(None)
+    messages = F.array(F.struct(F.lit("info").alias("type"), F.col("page_id").cast("string").alias("text")))
+    write_json(rows.select("html", messages.alias("messages"), F.struct(none.cast("string").alias("title")).alias("metadata"), none.cast("string").alias("page_type"), none.cast("double").alias("confidence")), folder)
+    back = spark.read.text(folder).select(P.parse_result(F.col("value")).alias("r"))
+    return back.select(F.get("r.messages", F.lit(0))["text"].cast("long").alias("page_id"), F.md5("r.html").alias("html"))
+
+
+@query("SELECT page_id, md5(html) AS html FROM pages WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 4)")
+def html_file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as HTML, a folder each, and read as files."""
+    from ..sources.pages import html_files, write_html
+
+    folder = _folder(spark)
+    ids = [r.page_id for r in pages(spark, sf_dir).select("page_id").orderBy("page_id").limit(4).collect()]
+    for k in ids:
+        write_html(pages(spark, sf_dir).where(F.col("page_id") == k).coalesce(1), f"{folder}/page={k}")
+    back = html_files(spark, f"{folder}/*")
+    return back.where("html <> ''").select(F.regexp_extract("path", "page=(\\d+)", 1).cast("long").alias("page_id"), F.md5(F.regexp_replace("html", "\\n\\x00$", "")).alias("html"))
+
+
+@query("SELECT page_id, k % 3 = 0 AS tiny, CAST(CASE WHEN k % 3 = 0 THEN 4 ELSE 300 END AS BIGINT) AS n_chars, CASE WHEN k % 2 = 0 THEN 'Even' ELSE 'Odd' END AS title, 'product' AS page_type FROM (SELECT page_id, page_id AS k FROM pages)")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page functions by their SQL names."""
+    from ..functions.register import register
+
+    register(spark)
+    body_ = F.when(F.col("page_id") % 3 == 0, "<p>tiny</p>").otherwise(f"<article><p>{text(300)}</p></article>")
+    html = F.concat(F.when(F.col("page_id") % 2 == 0, "<title>Even</title>").otherwise("<title>Odd</title>"), body_)
+    rows = pages(spark, sf_dir).select("page_id", html.alias("html"), F.lit("https://x.org/product/1").alias("url"))
+    return rows.select("page_id", F.expr("page_content(html, url) = '<p>tiny</p>'").alias("tiny"), F.expr("page_text_length(html)").alias("n_chars"), F.expr("page_title(html)").alias("title"), F.expr("page_type(html, url)").alias("page_type"))
+
+
+@query("SELECT page_id, '<p>' || page_id || '</p>' AS html FROM pages UNION ALL SELECT CAST(NULL AS BIGINT), '<b>one' || chr(10) || 'file</b>'")
+def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a folder of tables, and of a folder of files, cleaned as streams."""
+    from ..sources.pages import write_html
+    from ..streaming.pages import clean_stream, page_stream, text_stream
+
+    folder = _folder(spark)
+    html = F.concat(F.lit("<p onclick='x'>"), "page_id", F.lit("</p><script>s</script>"))
+    pages(spark, sf_dir).select("page_id", "url", html.alias("html")).repartition(3).write.parquet(f"{folder}/in")
+    write_html(spark.createDataFrame([("<b>one\nfile</b>",)], "html string").coalesce(1), f"{folder}/files")
+    cleaned = []
+    for k, stream in enumerate((page_stream(spark, f"{folder}/in", 2).drop("url"), text_stream(spark, f"{folder}/files").where("html <> ''").withColumn("page_id", F.lit(None).cast("long")))):
+        clean_stream(stream.withColumnRenamed("html", "raw"), f"{folder}/out{k}", f"{folder}/state{k}", html_col="raw", url_col=None, boilerplate="keep").awaitTermination()
+        cleaned.append(spark.read.parquet(f"{folder}/out{k}").select("page_id", F.regexp_replace("html", "[\\s\\x00]+$", "").alias("html")))
+    return cleaned[0].union(cleaned[1])

@@ -14,7 +14,7 @@ def page_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFram
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
     """One HTML file a row, as column ``html``."""
-    return spark.readStream.option("wholetext", True).text(path).withColumnRenamed("value", "html")
+    return spark.readStream.text(path, wholetext=True).withColumnRenamed("value", "html")
 
 
 def clean_stream(stream: DataFrame, out: str, checkpoint: str, **options):

@@ -146,8 +146,8 @@ def _sum(t: pa.Table) -> pa.Table:
     counted documents and, for a held-out chunk, over those not held out; and
     (as chunk -1) the number of distinct words."""
     roles = np.asarray(t.column("role"))
-    keys = [np.cumsum(_unplanes(b)) for b in t.column("keys").to_pylist()]
-    n = [_unplanes(b).astype(np.int32) for b in t.column("n").to_pylist()]
+    keys = [np.cumsum(_unplanes(b.as_py())) for b in t.column("keys")]
+    n = [_unplanes(b.as_py()).astype(np.int32) for b in t.column("n")]
     total, kept = [np.empty(len(k), np.int64) for k in keys], [np.empty(len(k) * (r == HELD), np.int64) for k, r in zip(keys, roles)]
     words = 0
     # each chunk's keys are sorted: ranges of them are summed one by one
@@ -259,7 +259,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpu
     A null id stays null, repeated rows are each scored and counted, an empty
     corpus gives the uniform model.  Other columns are ignored.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = 2 * shuffle_partitions(docs.sparkSession)  # a part of the table is held whole by one worker
     number, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     held = F.when(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(HELD_ONE_IN)) == 0, F.lit(HELD)).otherwise(F.lit(KEPT))
     learned = (docs if corpus is None else corpus).select(number, text, held.alias("role"))

@@ -910,3 +910,34 @@ def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean_stream(stream.withColumnRenamed("html", "raw"), f"{folder}/out{k}", f"{folder}/state{k}", html_col="raw", url_col=None, boilerplate="keep").awaitTermination()
         cleaned.append(spark.read.parquet(f"{folder}/out{k}").select("page_id", F.regexp_replace("html", "[\\s\\x00]+$", "").alias("html")))
     return cleaned[0].union(cleaned[1])
+
+
+# ------------------------------------------------------------- whole operators
+
+_NODE = {"nid": "long", "pid": "long", "last": "long", "depth": "long", "sib": "long", "is_last_elem": "boolean", "kind": "string", "tag": "string", "id": "string", "text": "string"}
+_NODES = [
+    (0, -1, 8, 0, 0, False, "document", None, None, None), (1, 0, 8, 1, 0, True, "element", "html", None, None), (2, 1, 2, 2, 0, False, "element", "head", None, None), (3, 1, 8, 2, 1, True, "element", "body", None, None),
+    (4, 3, 7, 3, 0, True, "element", "p", "a", None), (5, 4, 5, 4, 0, False, "text", None, None, "x"), (6, 4, 7, 4, 1, True, "element", "b", None, None), (7, 6, 7, 5, 0, False, "text", None, None, "y"), (8, 3, 8, 3, 1, False, "comment", None, None, "c"),
+]
+
+
+@query(table_sql(_NODE, _NODES))
+def node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of a small page, in full."""
+    nodes = P.node_table(spark.createDataFrame([(1, "<p id=a>x<b>y</b></p><!--c-->")], "page_id long, html string"))
+    return nodes.select(*((F.col("attrs")["id"] if c == "id" else F.col(c)).cast("long" if t == "long" else t).alias(c) for c, t in _NODE.items()))
+
+
+_CLEANED = [
+    (None, None, None, "", None, "html must be a string"), (_PAGE, "https://x.org/product/1", f'<p>{_W}</p><a href="/l">link text</a>', "", "product", None), ("<p>tiny</p>", None, "<p>tiny</p>", "boilerplate: content-very-short", "article", None),
+    ("<nav>menu</nav>", None, "", "boilerplate removal produced no content; cleaning the whole document", "article", None), ("x" * 501, None, None, "", None, "input exceeds 500 bytes"), ("", None, "", "boilerplate removal produced no content; cleaning the whole document", "article", None),
+    (f"<article>{_SHORT}</article><div><p>{'more text here ' * 8}</p></div>", None, f"{_SHORT}<p>{'more text here ' * 8}</p>", "boilerplate: body-fallback-used", "article", None),
+]
+
+
+@query(table_sql({"item": "long", "markup": "string", "messages": "string", "page_type": "string", "reason": "string"}, [(k, *r[2:]) for k, r in enumerate(_CLEANED)]))
+def clean_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards, extraction, sanitising and messages in one, on written pages."""
+    df = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(_CLEANED)], "item long, raw string, url string")
+    out = P.clean_pages(df, html_col="raw", max_input_bytes=500)
+    return out.select("item", F.col("html").alias("markup"), F.coalesce(F.array_join(F.transform("messages", lambda m: m["text"]), ","), F.lit("")).alias("messages"), "page_type", F.col("error").alias("reason"))

@@ -9,11 +9,15 @@ where two suffixes of different documents share their first ``length`` words.
     suffixes out.  Anchors are about one word in 22.
 2.  The text around anchors of several documents (all suffixes filed under
     them, as word hashes) is shuffled by range of the anchor's leading words;
-    the ranges come from splitters sampled over all such anchors.
+    the ranges come from splitters sampled over all such anchors.  Leading
+    words so frequent that several splitters fall on them get as many buckets,
+    by document.
 3.  Each bucket sorts its suffixes by multikey quicksort, 8 words a key, and
     neighbours that agree in all of ``length`` words are repeats.  Splitters
-    fall between different leading words, so the comparison across a boundary
-    is decided there: no suffix equals one of the next bucket.
+    between different leading words part no equal suffixes; buckets of the same
+    leading words are compared across their boundaries: each sends its distinct
+    suffixes, with the least and greatest document that has them, and gets back
+    those of all.
 4.  Overlapping repeated windows of a document make one passage.
 """
 
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blobs, buckets_for, documents, each_piece, plan_bytes, routed, stored, tidy, unblob, window_hash, windows_inside
+from .common import U64, blobs, buckets_for, documents, each_piece, mix, plan_bytes, routed, stored, tidy, unblob, window_hash, windows_inside
 
 LENGTH = 50
 GRAM = 8
@@ -116,7 +120,33 @@ def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
-def _contexts(batches, length, gram, cuts):
+class Splits:
+    """Buckets of anchors by their leading words."""
+
+    def __init__(self, sample: np.ndarray, buckets: int):
+        """``sample``: leading words of some anchors, sorted."""
+        at = sample[np.linspace(0, len(sample), buckets + 1).astype(np.int64)[1:-1]] if len(sample) else sample
+        self.cuts, times = np.unique(at, return_counts=True)
+        self.parts = np.where(times > 1, times, 0)
+        self.first = len(self.cuts) + 1  # from here on, buckets of one hot key
+        self.begin = self.first + np.cumsum(self.parts) - self.parts
+
+    def bucket(self, lead: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.cuts, lead, "right")
+        at = out - 1  # the cut that the key may equal
+        hot = np.flatnonzero((at >= 0) & (self.cuts[np.maximum(at, 0)] == lead) & (self.parts[np.maximum(at, 0)] > 0)) if len(self.cuts) else at[:0]
+        k = at[hot]
+        out[hot] = self.begin[k] + (mix(doc[hot].astype(U64)) % self.parts[k].astype(U64)).astype(np.int64)
+        return out
+
+    def __len__(self) -> int:
+        return int(self.first + self.parts.sum())
+
+    def split(self) -> bool:
+        return bool(self.parts.any())
+
+
+def _contexts(batches, length, gram, splits):
     """The text around shared anchors, one row a bucket of leading words."""
     for batch in batches:
         ids = np.asarray(batch.column("id"))
@@ -140,7 +170,7 @@ def _contexts(batches, length, gram, cuts):
             count = np.diff(np.concatenate([head, [len(start)]]))
             words = count + length - 1
             at, start = at[head], start[head]
-            order, which, edge = routed(np.searchsorted(cuts, _leading(w.hash, at), "right"), len(cuts) + 1)
+            order, which, edge = routed(splits.bucket(_leading(w.hash, at), ids[lo + w.doc[start]]), len(splits))
             start, count, words = start[order], count[order], words[order]
             doc = w.doc[start]
             off = np.concatenate([[0], np.cumsum(words)])
@@ -149,12 +179,13 @@ def _contexts(batches, length, gram, cuts):
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), blobs(w.hash[take], off[edge]), blobs(head_row, edge)], names=["bucket", "text", "head"])
 
 
-def _repeats(t: pa.Table, length: int) -> pa.Table:
-    """A bucket's repeated suffixes: (doc, first word, stretch of them, first doc)."""
+def _sorted(t: pa.Table, length: int):
+    """A bucket's suffixes in order: (document, first word, first place of each
+    run of equal ones, a hash of each run's words)."""
     text = unblob(t.column("text"), U64)[0]
     head, _ = unblob(t.column("head"), np.int64, 3)
     if not len(head):
-        return pa.table({c: pa.array([], pa.int64()) for c in ("id", "start", "stop", "first")})
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     count = head[:, 2]
     off = np.concatenate([[0], np.cumsum(count + length - 1)])[:-1]
     row = np.repeat(np.arange(len(head)), count)
@@ -169,9 +200,41 @@ def _repeats(t: pa.Table, length: int) -> pa.Table:
     keys = np.stack([text[at]] + [block[at + p] for p in places], axis=1)
     order, same = multikey_sort(keys)
     edge = np.flatnonzero(~same)
-    doc, start = head[row, 0][order], (head[row, 1] + nth)[order]
-    low, high = np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
-    size = np.diff(np.concatenate([edge, [len(order)]]))
+    sign = np.zeros(len(edge), U64)
+    for column in keys[order[edge]].T:
+        sign = mix(sign * U64(0xD6E8FEB86659FD93) + column)
+    return head[row, 0][order], (head[row, 1] + nth)[order], edge, sign
+
+
+def _reach(doc: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(edge):
+        return doc[:0], doc[:0]
+    return np.minimum.reduceat(doc, edge), np.maximum.reduceat(doc, edge)
+
+
+def _ends(t: pa.Table, length: int, first: int) -> pa.Table:
+    """The distinct suffixes of a bucket of one hot key, with the least and the
+    greatest document that has each."""
+    bucket = t.column("bucket")[0].as_py()
+    doc, _, edge, sign = _sorted(t if bucket >= first else t.slice(0, 0), length)
+    low, high = _reach(doc, edge)
+    return pa.table({"bucket": pa.array(np.full(len(edge), bucket, np.int32)), "sign": pa.array(sign.view(np.int64)), "low": pa.array(low), "high": pa.array(high)})
+
+
+def _repeats(t: pa.Table, across: pa.Table | None, length: int) -> pa.Table:
+    """A bucket's repeated suffixes: (doc, first word, stretch of them, first doc)."""
+    doc, start, edge, sign = _sorted(t, length)
+    if not len(edge):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("id", "start", "stop", "first")})
+    low, high = _reach(doc, edge)
+    if across is not None and across.num_rows:
+        theirs = np.asarray(across.column("sign")).astype(np.int64).view(U64)
+        order = np.argsort(theirs)
+        at = order[np.minimum(np.searchsorted(theirs[order], sign), len(order) - 1)]
+        met = theirs[at] == sign
+        low = np.where(met, np.asarray(across.column("low"))[at], low)
+        high = np.where(met, np.asarray(across.column("high"))[at], high)
+    size = np.diff(np.concatenate([edge, [len(doc)]]))
     keep = np.repeat(low != high, size)
     doc, start, first = doc[keep], start[keep], np.repeat(low, size)[keep]
     order = np.lexsort((start, doc))
@@ -206,11 +269,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # splitters: quantiles of the leading words of a sample of the shared anchors
     n = shared.count()
     some = shared.select("lead").sample(fraction=min(1.0, SAMPLED * buckets / max(n, 1)), seed=7).toArrow().column("lead")
-    lead = np.sort(np.asarray(some).astype(np.int64))
-    cuts = np.unique(lead[np.linspace(0, len(lead), buckets + 1).astype(np.int64)[1:-1]]) if len(lead) else lead
+    splits = Splits(np.sort(np.asarray(some).astype(np.int64)), buckets)
     places = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
-    around = rows.join(places, "id").select("id", "text", "places").mapInArrow(tidy(lambda it: _contexts(it, length, gram, cuts)), "bucket int, text binary, head binary")
-    found = around.groupBy("bucket").applyInArrow(lambda t: _repeats(t, length), "id long, start long, stop long, first long")
+    around = rows.join(places, "id").select("id", "text", "places").mapInArrow(tidy(lambda it: _contexts(it, length, gram, splits)), "bucket int, text binary, head binary").groupBy("bucket")
+    found_type = "id long, start long, stop long, first long"
+    if splits.split():
+        # the text around anchors is shuffled once and read twice
+        ends = around.applyInArrow(lambda t: _ends(t, length, splits.first), "bucket int, sign long, low long, high long")
+        of_all = ends.groupBy("sign").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("bucket").alias("in")).where("size(in) > 1 and low <> high")
+        across = of_all.select(F.explode("in").alias("bucket"), "sign", "low", "high")
+        found = around.cogroup(across.groupBy("bucket")).applyInArrow(lambda t, x: _repeats(t, x, length), found_type)
+    else:
+        found = around.applyInArrow(lambda t: _repeats(t, None, length), found_type)
     return _joined(found).select(F.col("id").alias("doc_id"), "start", "stop", F.col("first").alias("first_doc_id"))
 
 

@@ -50,11 +50,8 @@ def test_components(spark):
 # --------------------------------------------------------------------- 1 suffix
 
 
-@pytest.mark.parametrize("length", [10, 50])
-def test_repeated_passages(spark, sf_dir, length):
-    rows = [(d, t) for d, t, _ in corpus(sf_dir)]
-    shared = " ".join(words(length, 9))
-    rows += [(9001, "start here " + shared + " end"), (9002, "other " + shared), (9003, shared + " " + shared), (9004, " ".join(shared.split()[: length - 1]))]
+def plain_passages(rows, length):
+    """Repeated passages, from the documents of every window of every text."""
     where = defaultdict(set)
     h = {d: hashes(t) for d, t in rows}
     for d, x in h.items():
@@ -73,8 +70,50 @@ def test_repeated_passages(spark, sf_dir, length):
                 want += [tuple(now)] if now else []
                 now = [d, i, i + length, min(docs)]
         want += [tuple(now)] if now else []
+    return sorted(want)
+
+
+@pytest.mark.parametrize("length", [10, 50])
+def test_repeated_passages(spark, sf_dir, length):
+    rows = [(d, t) for d, t, _ in corpus(sf_dir)]
+    shared = " ".join(words(length, 9))
+    rows += [(9001, "start here " + shared + " end"), (9002, "other " + shared), (9003, shared + " " + shared), (9004, " ".join(shared.split()[: length - 1]))]
     got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), length=length, gram=min(8, length))
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(map(tuple, got.collect())) == plain_passages(rows, length)
+
+
+def test_hot_passages_are_split_and_compared_across_boundaries(spark, monkeypatch):
+    """A passage that most documents have falls into several buckets; what two
+    of them alone have in each, and in all, is found."""
+    passage, rare = " ".join(words(90, 41)), " ".join(words(70, 42))
+    rows = [(d, " ".join([*words(20, 700 + d), passage, *words(15, 900 + d)])) for d in range(120)]
+    rows += [(d, " ".join([*words(8, 1200 + d), rare])) for d in (300, 301)] + [(d, " ".join(passage.split()[k : k + 55])) for k, d in enumerate(range(400, 430))]
+    made = []
+    real = suffix.Splits
+
+    class Seen(real):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(suffix, "Splits", Seen)
+    got = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(map(tuple, got.collect()))
+    assert made[0].split() and len(made[0]) > made[0].first + 1
+    assert found == plain_passages(rows, 50)
+
+
+def test_splits():
+    lead = np.sort(np.concatenate([np.full(600, 50), np.arange(0, 400)]))
+    s = suffix.Splits(lead, 20)
+    doc = np.arange(1000)
+    b = s.bucket(lead, doc)
+    assert len(set(b[lead == 50].tolist())) == s.parts.max() >= 10 and (b < len(s)).all()
+    assert set(b[lead == 50].tolist()).isdisjoint(b[lead != 50].tolist())
+    for x in np.unique(lead[lead != 50]).tolist():
+        assert len(set(b[lead == x].tolist())) == 1
+    empty = suffix.Splits(np.zeros(0, np.int64), 8)
+    assert not empty.split() and empty.bucket(lead, doc).max() == 0 and len(empty) == 1
 
 
 def test_multikey_sort():

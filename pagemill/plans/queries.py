@@ -286,6 +286,13 @@ def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("page_id", F.col("signals.paragraph_words").alias("words"), F.round("signals.link_ratio", 9).alias("link_ratio"), "refined_type")
 
 
+@query(_feature_sql())
+def kernel_url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of the URL as the page kernel gives them: those of the columns."""
+    x = P.page_features(spread(pages(spark, sf_dir)), only=("page_id", "features"))
+    return x.select("page_id", *(F.get("features", F.lit(k)).alias(f"f{k:02d}") for k in U.FEATURES))
+
+
 @query()
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = P.page_features(spread(pages(spark, sf_dir)), only=("page_id", "features"))

@@ -198,13 +198,69 @@ def render(root: Node, config: Config) -> str:
     return "".join(out)
 
 
-def clean_html(html: str, config: Config = DEFAULT, minify: bool = False) -> str:
-    """Sanitised markup; a document keeps its frame and gets a doctype."""
+# The hardened way: elements whose content goes with them, and what a value
+# that may be an address has to look like, if it isn't of a safe attribute.
+_SILENT = frozenset("annotation-xml audio colgroup desc foreignobject head iframe math mi mn mo ms mtext noembed noframes noscript plaintext script style svg template thead title video xmp".split())
+_ADDRESS = re.compile(r"(?:(?:f|ht)tps?|mailto|tel|callto|sms|cid|xmpp|matrix):|[^a-z]|[a-z+.\-]+(?:[^a-z+.\-:]|$)", re.I)
+_NO_ADDRESS = frozenset("alt class for id label name pattern placeholder role summary title value style xmlns".split())
+_BLANKS = re.compile(r"[\x00-\x20\xa0\u1680\u180e\u2000-\u2029\u205f\u3000]")
+
+
+def flat_allow_list(config: Config) -> tuple[frozenset[str], frozenset[str]]:
+    """(tags, attributes): each tag's attributes are allowed on every tag, event
+    handlers never."""
+    attrs = {a for names in (config.allowed_attributes or {}).values() for a in names if not a.lower().startswith("on")}
+    return frozenset(t.lower() for t in config.allowed_tags or ()), frozenset(attrs)
+
+
+def render_hardened(root: Node, config: Config) -> str:
+    """Markup of ``root``'s children under the flat allow-list of ``config``.
+
+    Tags are renamed first.  Elements that aren't allowed leave their content,
+    but for those in ``_SILENT``; comments go; ``aria-`` attributes stay,
+    ``data-`` ones only if they are allowed; every value that could be an
+    address must have a known scheme or none.
+    """
+    tags, attrs = flat_allow_list(config)
+    tags -= FORBIDDEN
+    rename = {k.lower(): v.lower() for k, v in (config.transform_tags or {}).items()}
+    out: list[str] = []
+    stack: list[Node | str] = root.children[::-1]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.kind == "text":
+            out.append(escape(n.text))
+        elif n.kind == "element":
+            tag = rename.get(n.tag, n.tag)
+            if tag not in tags or _forbidden(n):
+                if tag not in _SILENT and n.tag not in _SILENT and not _forbidden(n):
+                    stack += n.children[::-1]
+                continue
+            if tag in _RAW_OUT:
+                continue
+            kept = ""
+            for k, v in _safe_attrs(n).items():
+                fine = k in attrs or re.fullmatch(r"aria-[-\w]+", k, re.A)
+                if fine and (k in _NO_ADDRESS or not v or _ADDRESS.match(_BLANKS.sub("", v))):
+                    kept += f' {k}="{escape_attr(v)}"'
+            out.append(f"<{tag}{kept}>")
+            if tag in VOID:
+                continue
+            stack.append(f"</{tag}>")
+            stack += n.children[::-1]
+    return "".join(out)
+
+
+def clean_html(html: str, config: Config = DEFAULT, minify: bool = False, hardened: bool = False) -> str:
+    """Sanitised markup; a document keeps its frame and gets a doctype.
+    ``hardened`` takes the stricter of the two ways."""
     if not html.strip():
         return ""
-    document = is_document(html)
+    document = is_document(html) and not (hardened and "html" not in (config.allowed_tags or ()))
     doc = parse(html)
-    out = render(doc if document else body_of(doc), config)
+    out = (render_hardened if hardened else render)(doc if document else body_of(doc), config)
     if minify:
         out = re.sub(r">\s+<", "> <", re.sub(r"[ \t\r\n\f]+", " ", out)).strip()
     if is_document(out) and not out.lstrip().lower().startswith("<!doctype"):

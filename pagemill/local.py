@@ -27,6 +27,7 @@ def clean(
     config: dict | None = None,
     page_type: str | None = None,
     max_input_bytes: int = MAX_INPUT,
+    hardened: bool = False,
 ) -> dict:
     """The result of one page; fields without a value are left out."""
     if not isinstance(html, str):
@@ -35,7 +36,7 @@ def clean(
     if len(html.encode("utf-8", "surrogatepass")) > max_input_bytes:
         raise ValueError(f"input exceeds {max_input_bytes} bytes")
     rules = S.derive(S.Config.of(config) if config is not None else S.DEFAULT, include_images, include_tables, include_links)
-    out, messages, meta, kind, confidence = clean_one(html, url, boilerplate, rules, minify, page_type)
+    out, messages, meta, kind, confidence = clean_one(html, url, boilerplate, rules, minify, page_type, hardened=hardened)
     result = {"html": out, "metadata": meta, "pageType": kind, "confidence": confidence, "messages": messages}
     return {k: v for k, v in result.items() if v is not None}
 

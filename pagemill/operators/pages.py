@@ -103,7 +103,7 @@ def _forest(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(K.Forest(f.read()))
 
 
-def clean_one(html: str, url: str | None, boilerplate: str, rules: S.Config, minify: bool = False, page_type: str | None = None, blacklist: set[str] | None = None, forest: K.Forest | None = None) -> list:
+def clean_one(html: str, url: str | None, boilerplate: str, rules: S.Config, minify: bool = False, page_type: str | None = None, blacklist: set[str] | None = None, forest: K.Forest | None = None, hardened: bool = False) -> list:
     """(html, messages, metadata, page type, confidence) of one page."""
     messages: list[dict] = []
     doc = parse(html)
@@ -124,7 +124,7 @@ def clean_one(html: str, url: str | None, boilerplate: str, rules: S.Config, min
                 messages.append({"type": "warning", "text": "boilerplate removal produced no content; cleaning the whole document"})
         except Exception as e:
             messages.append({"type": "warning", "text": f"boilerplate removal failed: {e}; cleaning the whole document"})
-    return [S.clean_html(body, rules, minify), messages, meta, kind, confidence]
+    return [S.clean_html(body, rules, minify, hardened), messages, meta, kind, confidence]
 
 
 def clean_pages(
@@ -143,6 +143,7 @@ def clean_pages(
     author_blacklist: set[str] | None = None,
     forest_path: str | None = None,
     mode: str = "PERMISSIVE",
+    hardened: bool = False,
 ) -> DataFrame:
     """``df`` with ``(html, messages, metadata, page_type, confidence, error)``.
 
@@ -150,14 +151,15 @@ def clean_pages(
     document; where extraction gives nothing, the whole document is cleaned
     and a message says so.  New columns whose name is taken get underscores.
     Null html and html over ``max_input_bytes`` give an ``error`` and nulls;
-    empty html gives empty html.  ``include_comments`` has no effect.
+    empty html gives empty html.  ``hardened`` sanitises by the stricter way.
+    ``include_comments`` has no effect.
     """
     check_options(boilerplate, page_type, include_images=include_images, include_tables=include_tables, include_links=include_links, include_comments=include_comments)
     rules = S.derive(S.Config.of(config) if config is not None else S.DEFAULT, include_images, include_tables, include_links)
     forest = _forest(df, forest_path)
 
     def one(html: str, url: str | None) -> list:
-        return clean_one(html, url, boilerplate, rules, minify, page_type, author_blacklist, forest.value if forest else None)
+        return clean_one(html, url, boilerplate, rules, minify, page_type, author_blacklist, forest.value if forest else None, hardened)
 
     rows = admitted(df, html_col, max_input_bytes, mode)
     return _run(rows, CLEAN_DDL, [pa.string(), _MESSAGES, _META, pa.string(), pa.float64()], one, html_col, url_col)

@@ -453,6 +453,24 @@ written(
     ],
     _sanitised,
 )
+def _hardened(html: str, param: str) -> list:
+    rules = S.Config.of(json.loads(param)) if param else S.DEFAULT
+    return [out := S.clean_html(html, rules, hardened=True), len(S.violations(out))]
+
+
+_P_ONLY = '{"allowedTags": ["p", "a"], "allowedAttributes": {"a": ["href", "onclick"], "p": ["title", "data-k"]}}'
+written(
+    "hardened_cases",
+    {"markup": "string", "after": "long"},
+    [
+        ('<p onclick="x" title="t">a</p>', "", '<p title="t">a</p>', 0), ('<a href="javascript:1">a</a><a href="/x">b</a><a href="ftp://h">c</a>', "", '<a>a</a><a href="/x">b</a><a href="ftp://h">c</a>', 0), ("<script>1</script><style>s</style><svg><b>v</b></svg>x", "", "x", 0),
+        ("<article><p>kept</p></article><!-- c -->", "", "<p>kept</p>", 0), ('<p href="/h" title="t" aria-label="l" data-k="d">a</p>', _P_ONLY, '<p href="/h" title="t" aria-label="l" data-k="d">a</p>', 0), ('<a onclick="x" href="custom:y">a</a>', _P_ONLY, "<a>a</a>", 0),
+        ("<strike>a</strike><textarea>t</textarea>", "", "<del>a</del>t", 0), ("<p>a</p>", "{}", "a", 0), ("<noscript>n</noscript><table><thead><tr><td>h</td></tr></thead></table>", "", "<table></table>", 0),
+        ("<html><head><title>t</title></head><body><p>a</p></body></html>", "", "<!DOCTYPE html>\n<html><head><title>t</title></head><body><p>a</p></body></html>", 0), ("<html><body><p>a</p></body></html>", _P_ONLY, "<p>a</p>", 0), (" ", "", "", 0),
+        ('<img src="data:image/png;base64,x" alt="javascript:x">', "", '<img alt="javascript:x">', 0), ('<p title="java script:x">a</p><a href="java\tscript:x">b</a>', "", '<p title="java script:x">a</p><a>b</a>', 0),
+    ],
+    _hardened,
+)
 written(
     "css_cases",
     {"css": "string", "safe": "boolean"},

@@ -33,6 +33,7 @@ from .common import U64, blobs, buckets_for, documents, each_piece, mix, plan_by
 LENGTH = 50
 GRAM = 8
 SAMPLED = 64  # anchors a bucket, of which the splitters are quantiles
+MOST_SAMPLED = 1 << 22  # in all: they only balance the buckets
 _LOW = U64((1 << 28) - 1)
 
 
@@ -268,7 +269,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = stored(filed.groupBy("bucket").applyInArrow(_shared, "id long, place int, lead long"), "anchors")
     # splitters: quantiles of the leading words of a sample of the shared anchors
     n = shared.count()
-    some = shared.select("lead").sample(fraction=min(1.0, SAMPLED * buckets / max(n, 1)), seed=7).toArrow().column("lead")
+    some = shared.select("lead").sample(fraction=min(1.0, min(SAMPLED * buckets, MOST_SAMPLED) / max(n, 1)), seed=7).toArrow().column("lead")
     splits = Splits(np.sort(np.asarray(some).astype(np.int64)), buckets)
     places = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
     around = rows.join(places, "id").select("id", "text", "places").mapInArrow(tidy(lambda it: _contexts(it, length, gram, splits)), "bucket int, text binary, head binary").groupBy("bucket")

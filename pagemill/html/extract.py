@@ -98,14 +98,13 @@ def _has_p(root: Node) -> bool:
     return any(n.tag == "p" for n in root.elements())
 
 
-def _with_backoff(root: Node, act, guard: bool) -> None:
-    """Run ``act``; undo it where it would leave a page without any paragraph."""
-    if not (guard and _has_p(root)):
-        act()
-        return
-    backup = root.clone()
-    act()
-    if not _has_p(root):
+def _without(root: Node, victims: list[Node], guard: bool) -> None:
+    """Takes ``victims`` out; not where that would leave a page without any
+    paragraph, with ``guard``."""
+    backup = root.clone() if victims and guard and _has_p(root) else None
+    for n in victims:
+        n.remove()
+    if backup is not None and not _has_p(root):
         root.children = backup.children
         for c in root.children:
             c.parent = root
@@ -126,21 +125,13 @@ def clean(root: Node, o: Options) -> None:
         for n in select(root, s):
             n.remove()
 
-    def hide() -> None:
-        for n in root.elements():
-            if is_hidden(n):
-                n.remove()
-
-    def discard() -> None:
-        for n in root.elements():
-            if n.tag in drop:
-                n.remove()
-
-    _with_backoff(root, hide, True)
-    for n in root.elements():
+    elements = root.elements()
+    hidden = [n for n in elements if n.attrs and is_hidden(n)]
+    _without(root, hidden, True)
+    for n in root.elements() if hidden else elements:
         if n.tag in strip:
             n.unwrap()
-    _with_backoff(root, discard, o.focus == "recall")
+    _without(root, [n for n in root.elements() if n.tag in drop], o.focus == "recall")
     for n in list(root.walk()):
         if n.kind == "comment":
             n.remove()
@@ -180,12 +171,14 @@ def link_density_table(table: Node) -> bool:
     return not full or sum(full) > total * (0.8 if total < 1000 else 0.5)
 
 
-def drop_by_links(root: Node, o: Options, tags: tuple[str, ...], backtrack: bool = False) -> None:
+def drop_by_links(root: Node, o: Options, tags: tuple[str, ...], backtrack: bool = False, elements: list[Node] | None = None) -> list[Node]:
+    """Takes out what is mostly links; gives the elements that are left.
+    ``elements`` are those of ``root``, where they are known."""
     precise = o.focus == "precision"
     gone = []
-    elements = root.elements()
+    elements = root.elements() if elements is None else elements
     if not any(n.tag == "a" for n in elements):
-        return
+        return elements
     for tag in tags:
         for n in elements:
             if n.tag != tag:
@@ -195,6 +188,7 @@ def drop_by_links(root: Node, o: Options, tags: tuple[str, ...], backtrack: bool
                 gone.append(n)
     for n in reversed(gone):
         n.remove()
+    return root.elements() if gone else elements
 
 
 # ------------------------------------------------------------------ selection
@@ -223,9 +217,9 @@ def rule_matches(rule: dict, n: Node) -> bool:
     )
 
 
-def by_rules(body: Node) -> tuple[Node | None, int]:
+def by_rules(body: Node, elements: list[Node] | None = None) -> tuple[Node | None, int]:
     best, size = None, 0
-    elements = body.elements()
+    elements = body.elements() if elements is None else elements
     for rule in C.CONTENT_RULES:
         n = next((x for x in elements if rule_matches(rule, x)), None)
         if n is None:
@@ -238,10 +232,11 @@ def by_rules(body: Node) -> tuple[Node | None, int]:
     return best, size
 
 
-def by_meaning(body: Node) -> Node | None:
+def by_meaning(body: Node, elements: list[Node] | None = None) -> Node | None:
+    elements = body.elements() if elements is None else elements
     for s in ("article", "main", '[role="main"]'):
         best, size = None, 0
-        for n in select(body, s):
+        for n in select(body, s, elements):
             k = text_len(n)
             if k > size:
                 best, size = n, k
@@ -273,10 +268,11 @@ def choose(body: Node, o: Options) -> Node:
         n = select_first(body, s)
         if n is not None and text_len(n) >= LEAST_CONTENT:
             return n
-    weak, size = by_rules(body)
+    elements = body.elements()
+    weak, size = by_rules(body, elements)
     if weak is not None and size >= LEAST_CONTENT:
         return weak
-    return by_meaning(body) or by_score(body, o) or weak or body
+    return by_meaning(body, elements) or by_score(body, o) or weak or body
 
 
 # -------------------------------------------------------------- discard by name
@@ -390,16 +386,16 @@ def serialise(root: Node, o: Options | None = None) -> str:
 
 def _render(node: Node, o: Options, by_name: bool) -> tuple[str, int]:
     root = node.clone()
-    drop_by_links(root, o, ("ul", "ol", "dl"))
-    drop_by_links(root, o, ("div",), True)
-    drop_by_links(root, o, ("h1", "h2", "h3", "h4", "h5", "h6"))
-    drop_by_links(root, o, ("blockquote", "q"))
-    for n in root.elements():
-        if n.tag in ("header", "footer") and not _inside(n, root, ("article", "main")):
-            n.remove()
+    elements = drop_by_links(root, o, ("ul", "ol", "dl"))
+    elements = drop_by_links(root, o, ("div",), True, elements)
+    elements = drop_by_links(root, o, ("h1", "h2", "h3", "h4", "h5", "h6"), False, elements)
+    elements = drop_by_links(root, o, ("blockquote", "q"), False, elements)
+    frames = [n for n in elements if n.tag in ("header", "footer") and not _inside(n, root, ("article", "main"))]
+    for n in frames:
+        n.remove()
     test = boilerplate_named if by_name else always_excluded
-    for n in reversed(root.elements()):
-        if test(n, o):
+    for n in reversed(root.elements() if frames else elements):
+        if n.attrs and test(n, o):
             n.remove()
     prune_empty(root)
     size = text_len(root)

@@ -3,6 +3,7 @@
 import json
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,76 @@ def test_alignment_against_all_pairs(spark, sf_dir):
     assert sum(got[k].offset == brute[k][0] for k in got) >= 0.95 * len(got)
 
 
+def fingerprinted(rows):
+    fps = {}
+    for lo, hi, c, first in chroma.melody(pa.array([t for _, t in rows])):
+        fp, at = chroma.packed_integers(c, first)
+        fps |= {rows[lo + k][0]: fp[at[k] : at[k + 1]] for k in range(hi - lo) if at[k + 1] > at[k]}
+    return fps
+
+
+def sampled_pairs(fps):
+    """What ``aligned`` says of its pairs, of all pairs of all sampled integers."""
+    at = {d: chroma.sampled(fp, np.array([0, len(fp)])) for d, fp in fps.items()}
+    high = {d: chroma.upper_bits(fp) for d, fp in fps.items()}
+    out = {}
+    for a, b in combinations(sorted(fps), 2):
+        i, j = np.nonzero(fps[a][at[a]][:, None] == fps[b][at[b]])
+        p, q = at[a][i], at[b][j]
+        wrong, bits, far, of = np.zeros((4, len(p)), int)
+        for k, w in zip(chroma.AROUND, chroma.SPANS):
+            on = (p + k >= 0) & (p + k < len(high[a])) & (q + k >= 0) & (q + k < len(high[b]))
+            x, y = high[a][np.where(on, p + k, 0)], high[b][np.where(on, q + k, 0)]
+            e = on * np.bitwise_count(x ^ y)
+            wrong, bits, far, of = wrong + e, bits + 16 * on, far + w * e, of + w * 16 * on
+        n, m = len(fps[a]), len(fps[b])
+        overlap = np.minimum(p, q) + np.minimum(n - p, m - q)
+        good = (wrong <= (chroma.MOST_ERRORS + chroma.MORE_ERRORS) * bits) & (overlap >= chroma.LEAST_OVERLAP * min(n, m))
+        votes = Counter((p - q)[good].tolist())
+        if votes:
+            offset, shared = max(votes.items(), key=lambda v: (v[1], -abs(v[0]), -v[0]))
+            here = good & (p - q == offset)
+            e = far[here].sum() / max(1, of[here].sum())
+            if (shared >= 2 or overlap[here][0] < 64) and e <= chroma.MOST_ERRORS:
+                out[b, a] = (offset, shared, round(float(e), 9))
+    return out
+
+
+def test_alignment_drops_no_partner(spark):
+    r = random.Random(8)
+    base = words(250, 81)
+    rows = [(k, " ".join([*base[:at], f"new{k}", *base[at + 1 :]])) for k, at in ((k, r.randrange(250)) for k in range(100, 150))]  # more of them than are compared one by one
+    rows += [(200 + k, rows[7][1]) for k in range(3)] + [(210, rows[9][1]), (210, rows[9][1])]  # copies, and a repeated row
+    rows += [(400 + k, " ".join(words(12, 90 + k % 5))) for k in range(12)] + [(500, ""), (501, "one"), (502, None), (None, "two")]
+    fps = fingerprinted([x for x in dict(rows).items() if x[0] is not None and x[1]])
+    want, least = sampled_pairs(fps), {}
+    of = {d: least.setdefault(fps[d].tobytes(), d) for d in sorted(fps)}
+    assert sum(a < 200 and b < 200 for a, b in want) == 50 * 49 // 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {k: x for k, x in want.items() if of[k[0]] == of[k[1]] == k[1] or of[k[0]] == k[0] and of[k[1]] == k[1]}
+    for all_pairs in (2, 32, 10**6):
+        got = chroma.aligned(docs, media_col="text", decoder=chroma.melody, all_pairs=all_pairs).collect()
+        assert {(x.rec_id, x.match_id): (x.offset, x.shared, round(x.bit_error_rate, 9)) for x in got} == kept and len(got) == len(kept)
+        assert {x.rec_id for x in got if x.copy} == {d for d in of if of[d] != d} >= {200, 201, 202, 210}
+    links = Counter(d for k in want for d in k)
+    got = {x.rec_id: (x.class_id, x.links) for x in chroma.linked(docs, media_col="text", decoder=chroma.melody).collect()}
+    assert got == {d: (of.get(d, d), links[d]) for d, t in rows if d is not None and t is not None}
+
+
+def test_offsets_of_repeated_sound():
+    r = np.random.default_rng(4)
+    for n, m, top in ((1, 1, 5), (3000, 2000, 9000), (40, 2500, 70_000)):
+        p, q = (np.sort(r.choice(top, min(k, top), replace=False)) for k in (n, m))
+        at, count = chroma._offsets(p, q)
+        assert dict(zip(at.tolist(), count.tolist())) == Counter((p[:, None] - q).ravel().tolist())
+
+
+def test_packed_votes():
+    r = np.random.default_rng(6)
+    x = r.integers(-(1 << 62), 1 << 62, (300, chroma._VOTE)) >> r.integers(0, 62, (300, chroma._VOTE))
+    assert (chroma._unpacked(chroma._packed(x), len(x)) == x).all()
+
+
 def test_upper_bits():
     x = np.random.default_rng(1).integers(0, 1 << 32, 50).astype(np.uint32)
     assert chroma.upper_bits(x).tolist() == [sum((v >> (2 * k + 1) & 1) << k for k in range(16)) for v in x.tolist()]

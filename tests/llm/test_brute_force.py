@@ -312,6 +312,40 @@ def test_alignment_drops_no_partner(spark):
     assert got == {d: (of.get(d, d), links[d]) for d, t in rows if d is not None and t is not None}
 
 
+def test_votes_of_unlike_pairs_stay(spark):
+    """Recordings with only a passage in common send no votes; those that are
+    aligned lose none, though some of theirs are as bad by themselves."""
+    r = random.Random(9)
+    passage, base = " ".join(words(90, 82)), " ".join(words(300, 83))
+    rows = [(k, " ".join([*words(150, 700 + k), passage, *words(150, 800 + k)])) for k in range(50)]
+    rows += [(100 + k, edited(base, 0.015 * (k % 5), r)) for k in range(40)]
+    fps = fingerprinted(rows)
+    want = sampled_pairs(fps)
+    assert len(want) > 100 and not any(a < 50 for a, _ in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {d: min(e for e in fps if fps[e].tobytes() == fps[d].tobytes()) for d in fps}
+    kept = {k: x for k, x in want.items() if k[1] == least[k[0]] or least[k[0]] == k[0] and least[k[1]] == k[1]}
+    for all_pairs in (2, 10**6):
+        got = chroma.aligned(docs, media_col="text", decoder=chroma.melody, all_pairs=all_pairs).collect()
+        assert {(x.rec_id, x.match_id): (x.offset, x.shared, round(x.bit_error_rate, 9)) for x in got} == kept
+    unlike = docs.where("doc_id < 50").selectExpr("doc_id as id", "text as media")
+    votes = chroma._met_pairs(unlike, chroma.melody, chroma.MOST_ERRORS, chroma.ALL_PAIRS, chroma.LEAST_OVERLAP)._df
+    assert sum(x.n for x in votes.select("n").collect()) < 50
+
+
+def test_filter_of_pairs():
+    r = np.random.default_rng(7)
+    x, y = (np.unique(r.integers(0, 1 << chroma._PART, n)) for n in (4000, 3000))
+    n, coded = chroma._either((len(x), chroma._coded(x)), (len(y), chroma._coded(y)))
+    assert chroma._decoded(n, coded).tolist() == np.union1d(x, y).tolist() and len(chroma._decoded(0, chroma._coded(x[:0]))) == 0
+    known = np.frombuffer(chroma._ZSTD.decompress(chroma._filter([(3, (n, coded)), (200, (len(y), chroma._coded(y)))]), 1 << (chroma._FILTER - 3), asbytes=True), np.uint8)
+    want = np.concatenate([np.union1d(x, y) + (3 << chroma._PART), y + (200 << chroma._PART)])
+    assert np.bitwise_count(known).sum() == len(want) and chroma._passes(known, want).all() and not chroma._passes(known, y + (7 << chroma._PART)).any()
+    a, b = r.integers(-(1 << 62), 1 << 62, (2, 1000))
+    at = chroma._pair_bits(a, b)
+    assert (at == chroma._pair_bits(b, a)).all() and at.min() >= 0 and at.max() < 1 << chroma._FILTER and len(np.unique(at)) > 990
+
+
 def test_offsets_of_repeated_sound():
     r = np.random.default_rng(4)
     for n, m, top in ((1, 1, 5), (3000, 2000, 9000), (40, 2500, 70_000)):

@@ -1,5 +1,5 @@
 """Relational queries over the node table: semi-joins, ranks, groups with a
-condition, variances, unions, reports and recursion, on generated pages."""
+condition, variances, unions, reports and walks, on generated pages."""
 
 from __future__ import annotations
 
@@ -87,7 +87,7 @@ def paragraphs_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, 3 + k % 5 AS levels FROM {_K}")
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest level of each page, by recursion from parents to children."""
+    """The deepest level of each page, by a walk from parents to children."""
     return trees.levels(_nodes(spark, sf_dir, ("<div>", "k % 5"), ("x", "1"), ("</div>", "k % 5"))).groupBy("page_id").agg(F.max("level").cast("long").alias("levels"))
 
 

@@ -91,6 +91,19 @@ def test_tree_operators(spark):
     assert nodes.where("tag = 'div'").select(T.hidden(F.col("attrs")).alias("h")).first().h is False
 
 
+def test_levels_have_no_limit_of_rows_or_depth(spark):
+    """A recursive query ended at spark.sql.cteRecursionRowLimit rows of all pages, and at 100 levels."""
+    nodes = P.node_table(spark.createDataFrame([(1, "<div>" * 150 + "x"), (2, "<p>a<b>b</b></p>")], "page_id long, html string"))
+    nodes = nodes.select("page_id", "nid", "pid").union(spark.createDataFrame([(2, 99, 98), (3, 0, -1), (3, 5, 7), (3, 7, 0)], "page_id long, nid int, pid int"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        got = {(r.page_id, r.nid): r.level for r in trees.levels(nodes).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert [got[1, k] for k in (0, 3, 4, 153, 154)] == [0, 2, 3, 152, 153] and (2, 99) not in got
+    assert {k: v for k, v in got.items() if k[0] == 3} == {(3, 0): 0, (3, 7): 1, (3, 5): 2}
+
+
 def test_tfidf(spark):
     df = spark.createDataFrame([(1, "best news of 2024"), (2, "zzz"), (3, None)], "k long, t string")
     got = tfidf(df, "k", F.col("t")).collect()

@@ -297,3 +297,9 @@ def test_features_of_long_runs_take_linear_time():
     f = lambda html: K.features(K.Facts(parse(html)), None)
     assert f("1" * 40_000 + " apples of items")[84] == 0 and f("1" * 40_000 + " \n\xa0items")[84] == 1 and f("<p>no 7 item results</p>")[84] == 0
     assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("html, bare, closed", [("a&amp", "a&", "a&amp"), ("&ampx;&amp;amp", "&x;&amp", "&ampx;&amp"), ("&#65;&#65 &lt;&lt&nosuch;", "AA <<&nosuch;", "A&#65 <&lt&nosuch;"), ("&notit;&eacute;", "¬it;é", "&notit;é")])
+def test_bare_references(html, bare, closed):
+    for page, text in ((f"<p>{html}</p>", lambda d: d.content()), (f"<title>{html}</title>", lambda d: d.content()), (f'<p title="{html}">x</p>', lambda d: body_of(d).children[0].get("title"))):
+        assert text(parse(page)) == bare and text(parse(page, bare_references=False)) == closed
